@@ -31,8 +31,8 @@ FENCE = 3
 MIN_GROUP = 100
 
 
-def signals(rows: DataFrame) -> Column:
-    """Struct of the signals of ``_text``, whose words are in ``_words``; integers of 0 or more.
+def signals(t: Column) -> Column:
+    """Struct of a text's signals, integers of 0 or more.
 
     symbol_pm: characters that are no letters, digits, white space or usual
     punctuation, a thousand characters (50 added). upper_pm: upper-case letters,
@@ -40,10 +40,10 @@ def signals(rows: DataFrame) -> Column:
     dupline_pm: lines seen before in the text, a thousand lines (10 added).
     word_decis: mean length of a word in tenths, 20 words of 5 added.
     """
-    t, words = rows["_text"], rows["_words"]
-    chars, n_words, lines = F.length(t), F.size(words), F.split(t, "\\n")
+    chars, n_words, lines = F.length(t), F.regexp_count(t, F.lit("[^ \\n]+")), F.split(t, "\\n")
     symbols = F.length(F.regexp_replace(t, "[\\p{L}\\p{N} \\n\\t.,;:'\"?!()-]+", ""))
-    repeats = F.size(F.filter(words, lambda x, i: x == F.get(words, i + 1)))
+    # a back-reference, not an array of words: no lambda that the optimiser could fill with a repeated split
+    repeats = F.regexp_count(t, F.lit("(?<![^ \\n])([^ \\n]++)(?=[ \\n]+\\1(?![^ \\n]))"))
     return F.struct(
         F.floor(1000 * symbols / (chars + 50)).cast("long").alias("symbol_pm"),
         F.floor(1000 * F.regexp_count(t, F.lit("\\p{Lu}")) / (chars + 50)).cast("long").alias("upper_pm"),
@@ -99,11 +99,9 @@ def _within(measured: DataFrame, limits: DataFrame) -> DataFrame:
 
 def measure(docs: DataFrame, *keep: Column) -> DataFrame:
     """keep, lang, source and the signals of every document with text."""
-    # the words are a column of their own, so that they are split once
-    split = docs.select(*keep, docs["lang"].alias("_lang"), docs["source"].alias("_source"), docs["text"].alias("_text"), F.split(docs["text"], "[ \\n]+").alias("_words"))
-    split = split.filter(F.col("_text").rlike("[^ \\n\\t]"))
-    kept = split.columns[: len(keep)]
-    return split.select(*kept, F.col("_lang").alias("lang"), F.col("_source").alias("source"), signals(split).alias("_signals")).select(*kept, "lang", "source", "_signals.*")
+    rows = docs.filter(docs["text"].rlike("[^ \\n\\t]")).select(*keep, docs["lang"].alias("_lang"), docs["source"].alias("_source"), signals(docs["text"]).alias("_signals"))
+    kept = rows.columns[: len(keep)]
+    return rows.select(*kept, F.col("_lang").alias("lang"), F.col("_source").alias("source"), "_signals.*")
 
 
 def quality_scores(docs: DataFrame) -> DataFrame:
@@ -114,7 +112,8 @@ def quality_scores(docs: DataFrame) -> DataFrame:
 
 def quality_filter(docs: DataFrame) -> DataFrame:
     """The documents that pass, with all their columns."""
-    limits = checkpointed(cutoffs(checkpointed(sketches(measure(docs)))))
+    # written, so that the optimiser can't repeat the measuring in the filters that it infers for explode
+    limits = checkpointed(cutoffs(checkpointed(sketches(written(measure(docs), "signals")))))
     row = F.struct(*[docs[c] for c in docs.columns]).alias("_row")
     return _within(measure(docs, row), small(limits)).select("_row.*")
 
@@ -127,10 +126,10 @@ MEASURED_SQL = """
 measured AS (
   SELECT *, floor(1000 * (chars - length(regexp_replace(text, '[^\\p{L}\\p{N} \\n\\t.,;:''"?!()-]+', '', 'g'))) / (chars + 50))::BIGINT AS symbol_pm,
     floor(1000 * (chars - length(regexp_replace(text, '\\p{Lu}+', '', 'g'))) / (chars + 50))::BIGINT AS upper_pm,
-    floor(1000 * len([1 FOR i IN range(1, len(words)) IF words[i] = words[i + 1]]) / (len(words) + 20))::BIGINT AS repeat_pm,
+    floor(1000 * len([1 for i in range(1, len(words)) if words[i] = words[i + 1]]) / (len(words) + 20))::BIGINT AS repeat_pm,
     floor(1000 * (len(lines) - len(list_distinct(lines))) / (len(lines) + 10))::BIGINT AS dupline_pm,
     floor(10 * (chars + 100) / (len(words) + 20))::BIGINT AS word_decis
-  FROM (SELECT *, length(text) AS chars, string_split_regex(text, '[ \\n]+') AS words, string_split(text, chr(10)) AS lines
+  FROM (SELECT *, length(text) AS chars, list_filter(string_split_regex(text, '[ \\n]+'), lambda w: w <> '') AS words, string_split(text, chr(10)) AS lines
         FROM documents WHERE regexp_matches(text, '[^ \\n\\t]'))),
 sketch AS (
   SELECT lang, source, signal, (v >> d) << d AS bucket, count(*) AS n FROM (
