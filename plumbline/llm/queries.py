@@ -5,10 +5,15 @@ from __future__ import annotations
 import importlib
 
 _OPERATORS = {
+    "op1_url_filter": "urls",
     "op2_suffix_dedup": "suffix",
+    "op3_neighbours": "ann",
     "op4_near_duplicates": "neardup",
     "op5_packing": "packing",
     "op6_language_id": "langid",
+    "op7_warc": "warc",
+    "op8_bpe": "bpe",
+    "op9_sharding": "sharding",
     "op10_quality": "quality",
 }
 

@@ -65,7 +65,8 @@ def _strength(nodes: DataFrame) -> DataFrame:
 def reputations(pages: DataFrame, labels: DataFrame) -> DataFrame:
     """(host, n, bad, good_mean, good_upper) of every host of pages."""
     outcome = labels.filter("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("_doc")).agg(F.max(F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1).otherwise(0)).alias("_bad"))
-    seen = pages.select(host_of(pages["url"]).alias("host"), F.expr("try_cast(nullif(doc, '') as bigint)").alias("_doc")) if "doc" in pages.columns and False else pages.select(host_of(pages["url"]).alias("host"), F.nullif(F.regexp_extract(pages["url"], _NUMBER, 1), F.lit("")).cast("long").alias("_doc"))
+    number = F.nullif(F.regexp_extract(pages["url"], _NUMBER, 1), F.lit("")).cast("long")
+    seen = pages.select(host_of(pages["url"]).alias("host"), number.alias("_doc"))
     hosts = seen.join(outcome, "_doc", "left").groupBy("host").agg(F.count("_bad").alias("n"), F.coalesce(F.sum("_bad"), F.lit(0)).alias("bad"))
     hosts = checkpointed(hosts.select("host", domain_of(F.col("host")).alias("domain"), suffix_of(F.col("host")).alias("suffix"), "n", "bad"))
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
