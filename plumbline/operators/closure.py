@@ -25,7 +25,7 @@ def ancestor_closure(units: DataFrame, *keys: str, max_depth: int = 16) -> DataF
             jump, reach = cut(jump), cut(reach)
             if jump.isEmpty():
                 break
-        via = jump.withColumnsRenamed({"id": "scope_id", "scope_id": "_next"})
+        via = jump.select(*keys, F.col("scope_id").alias("_next"), F.col("id").alias("scope_id"))
         reach = reach.unionByName(reach.join(via, [*keys, "scope_id"]).select(*keys, "id", F.col("_next").alias("scope_id"), (F.col("depth") + span).alias("depth")))
         jump = jump.join(via, [*keys, "scope_id"]).select(*keys, "id", F.col("_next").alias("scope_id"))
         span *= 2
