@@ -118,6 +118,6 @@ def is_module(path: Column) -> Column:
     return F.lower(path).rlike("\\.(ts|tsx|mts|cts)$")
 
 
-def rank_of(kind: Column) -> Column:
+def in_order_of_rank(kind: Column) -> Column:
     """Headings before files before operations."""
     return F.when(kind.rlike("^h[1-4]$"), 0).when(kind == "file", 1).otherwise(2)

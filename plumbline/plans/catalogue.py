@@ -430,7 +430,7 @@ def ranked_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = _table(spark, sf_dir, "region").select(F.lit("h2").alias("kind"), F.concat(F.lit("r"), "r_regionkey").alias("id"), F.col("r_name").alias("target"))
     n = _table(spark, sf_dir, "nation").select(F.lit("file").alias("kind"), F.concat(F.lit("n"), "n_nationkey").alias("id"), F.col("n_name").alias("target"))
     s = _table(spark, sf_dir, "supplier").select(F.lit("operation").alias("kind"), F.concat(F.lit("s"), "s_suppkey").alias("id"), F.col("s_name").alias("target"))
-    units = r.unionByName(n).unionByName(s).withColumn("rank", T.rank_of(F.col("kind")))
+    units = r.unionByName(n).unionByName(s).withColumn("rank", T.in_order_of_rank(F.col("kind")))
     return hint_order(units, ["rank", "target", "id"]).select("ord", "target").crossJoin(F.broadcast(spark.createDataFrame([("@evidence ",), ("@evidenceExclude ",)], "trigger string"))).select("trigger", "ord", "target")
 
 
