@@ -27,7 +27,8 @@ class Glob:
     @property
     def regex(self) -> str:
         """Anchored expression with one meaning in Java, RE2 and Python."""
-        segs = self.segments
+        # several ** in a row mean what one does
+        segs = [x for i, x in enumerate(self.segments) if x != "**" or self.segments[i - 1 : i] != ("**",)]
         out = ""
         for i, seg in enumerate(segs):
             last = i == len(segs) - 1
