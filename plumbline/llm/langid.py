@@ -34,6 +34,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .bytekernels import SPACE, U64, chunks, column
+from .storage import free
 
 BUCKETS = 1 << 16
 DIM = 16
@@ -216,20 +217,21 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
 
 def _judged(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    kept = docs.select(*[docs[c] for c in keep], F.lower(docs["text"]).alias("_lowered"))
+    lowered, *made = (free(c, keep) for c in ("_lowered", "_language", "_confidence"))
+    kept = docs.select(*[docs[c] for c in keep], F.lower(docs["text"]).alias(lowered))
     fields = ", ".join(f"`{c}` {t}" for c, t in kept.dtypes[: len(keep)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         names = pa.array(m.langs, pa.string())
         for b in batches:
-            found, conf = m.judge(column(b, "_lowered"))
+            found, conf = m.judge(column(b, lowered))
             sel = pa.array(np.flatnonzero(found >= 0))
             arrays = [b.column(i).take(sel) for i in range(len(keep))]
             arrays += [names.take(pa.array(found[found >= 0])), pa.array(conf.round(6)).take(sel)]
-            yield pa.RecordBatch.from_arrays(arrays, [*keep, "_language", "_confidence"])
+            yield pa.RecordBatch.from_arrays(arrays, [*keep, *made])
 
-    return kept.mapInArrow(run, f"{fields}, _language string, _confidence double")
+    return kept.mapInArrow(run, f"{fields}, {made[0]} string, {made[1]} double")
 
 
 def language_scores(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
@@ -241,7 +243,8 @@ def language_scores(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
 def language_filter(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """The documents that aren't rejected, with all their columns; lang is the language found."""
     out = _judged(docs, train(docs, sample), docs.columns)
-    return out.select(*[F.col("_language").alias("lang") if c == "lang" else F.col(f"`{c}`") for c in docs.columns])
+    found = free("_language", docs.columns)
+    return out.select(*[F.col(found).alias("lang") if c == "lang" else F.col(f"`{c}`") for c in docs.columns])
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -39,7 +39,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .bytekernels import NONWORD, U64, chunks, column, gram_hashes, mix, owners, token_hashes, tokens
-from .storage import checkpointed, small, written
+from .storage import checkpointed, free, small, written
 
 SHINGLE = 3
 DF_SLOTS = 1 << 20
@@ -281,8 +281,9 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 def drop_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents without those of which a near duplicate is kept."""
-    gone = checkpointed(near_duplicates(docs, threshold).select(F.col("doc_id").alias("_gone")))
-    return docs.join(small(gone), docs["doc_id"] == F.col("_gone"), "left_anti")
+    key = free("_gone", docs.columns)
+    gone = checkpointed(near_duplicates(docs, threshold).select(F.col("doc_id").alias(key)))
+    return docs.join(small(gone), docs["doc_id"] == F.col(key), "left_anti")
 
 
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

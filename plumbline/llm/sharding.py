@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .storage import checkpointed, small, written
+from .storage import checkpointed, free, small, written
 
 SHARDS = 64
 SEED = 17
@@ -58,9 +58,10 @@ def assign(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, cell: int =
 
 def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, seed: int = SEED) -> None:
     """The rows of docs, whose doc_id is unique, as one folder a shard, in the order of their positions."""
-    places = assign(docs, shards, seed).select(F.col("doc_id").alias("_id"), F.col("shard").alias("_shard"), F.col("position").alias("_position"))
-    joined = docs.join(places, docs["doc_id"] == F.col("_id")).drop("_id")
-    joined.repartition("_shard").sortWithinPartitions("_shard", "_position").drop("_position").write.partitionBy("_shard").parquet(path)
+    key, shard, position = (free(c, docs.columns) for c in ("_id", "_shard", "_position"))
+    places = assign(docs, shards, seed).select(F.col("doc_id").alias(key), F.col("shard").alias(shard), F.col("position").alias(position))
+    joined = docs.join(places, docs["doc_id"] == F.col(key)).drop(key)
+    joined.repartition(shard).sortWithinPartitions(shard, position).drop(position).write.partitionBy(shard).parquet(path)
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -63,6 +63,14 @@ def drop_written() -> None:
 atexit.register(drop_written)
 
 
+def free(name: str, columns: list[str]) -> str:
+    """name, lengthened until no column has it in any case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if it has at most limit rows, else df as it is.
 

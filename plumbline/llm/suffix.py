@@ -39,7 +39,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .bytekernels import SPACE, U64, binary, chunks, column, gram_hashes, mix, owners, sliding_min, token_hashes, tokens
-from .storage import checkpointed, small, written
+from .storage import checkpointed, free, small, written
 
 #: Tokens of a window.
 DEPTH = 50
@@ -282,17 +282,18 @@ def deduplicate(docs: DataFrame, depth: int = DEPTH, digit: int = DIGIT) -> Data
     Documents without repeats are untouched; those of which nothing but white
     space is left go.
     """
-    spans = repeated_spans(docs, depth, digit).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start_token", "end_token"))).alias("_spans")).withColumnRenamed("doc_id", "_span_id")
-    joined = docs.join(small(checkpointed(spans)), docs["doc_id"] == F.col("_span_id"), "left")
+    names = docs.columns
+    held, key, left = free("_spans", names), free("_span_id", names), free("_left", names)
+    spans = repeated_spans(docs, depth, digit).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start_token", "end_token"))).alias(held)).withColumnRenamed("doc_id", key)
+    joined = docs.join(small(checkpointed(spans)), docs["doc_id"] == F.col(key), "left")
 
     @F.pandas_udf("string")
     def cut(text, spans):  # noqa: ANN001, ANN202
         return text.combine(spans, lambda t, s: cut_text(t, [(x["start_token"], x["end_token"]) for x in s]))
 
-    names = docs.columns
-    whole = joined.filter("_span_id is null").select(*[docs[c] for c in names])
-    torn = joined.filter("_span_id is not null").select(*[docs[c] for c in names], cut(docs["text"], F.col("_spans")).alias("_left")).filter("trim(regexp_replace(_left, '[ \\\\t\\\\n\\\\f\\\\r]+', '')) <> ''")
-    new = {"text": F.col("_left"), "n_chars": F.length("_left").cast("long")}
+    whole = joined.filter(F.col(key).isNull()).select(*[docs[c] for c in names])
+    torn = joined.filter(F.col(key).isNotNull()).select(*[docs[c] for c in names], cut(docs["text"], F.col(held)).alias(left)).filter(F.col(left).rlike("[^ \\t\\n\\f\\r]"))
+    new = {"text": F.col(left), "n_chars": F.length(left).cast("long")}
     return whole.unionByName(torn.select(*[new.get(c, F.col(f"`{c}`")).alias(c) for c in names]))
 
 

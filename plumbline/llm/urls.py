@@ -5,7 +5,8 @@ and its label is the page's outcome, bad if quality is 0 or toxic is 1. Rates of
 bad pages are shrunk down a tree, corpus to suffix to registered domain to host:
 the posterior mean of a node is the prior mean of its children, and each level
 has one prior strength, by the method of moments on the beta-binomial spread of
-the level's labelled nodes. A host is refused when even the upper bound of its
+the level's labelled nodes; fewer than two of them tell nothing of the spread,
+and the prior is the weakest. A host is refused when even the upper bound of its
 rate of good pages (posterior mean and Z deviations) is below MIN_GOOD, so hosts
 without labels are judged by their domain and stay unless that is surely bad.
 
@@ -22,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .storage import checkpointed, small
+from .storage import checkpointed, free, small
 
 MIN_GOOD = 0.7
 Z = 1.645
@@ -56,9 +57,10 @@ def _strength(nodes: DataFrame) -> DataFrame:
     sums = nodes.filter("n > 0").agg(
         F.sum(F.col("n") * (F.col("bad") / F.col("n") - F.col("mu")) * (F.col("bad") / F.col("n") - F.col("mu")) - v).alias("over"),
         F.sum(v * (F.col("n") - 1)).alias("room"),
+        F.count("*").alias("nodes"),
     )
     rho = F.col("over") / F.col("room")
-    m = F.when((F.col("room") > 0) & (F.col("over") > 0), F.least(F.lit(STRONGEST), F.greatest(F.lit(WEAKEST), 1 / rho - 1))).otherwise(F.lit(STRONGEST))
+    m = F.when(F.col("nodes") < 2, F.lit(WEAKEST)).when((F.col("room") > 0) & (F.col("over") > 0), F.least(F.lit(STRONGEST), F.greatest(F.lit(WEAKEST), 1 / rho - 1))).otherwise(F.lit(STRONGEST))
     return sums.select(m.alias("m"))
 
 
@@ -94,8 +96,9 @@ def url_scores(pages: DataFrame, labels: DataFrame) -> DataFrame:
 
 def url_filter(pages: DataFrame, labels: DataFrame) -> DataFrame:
     """The pages whose hosts aren't refused, with all their columns."""
-    refused = checkpointed(reputations(pages, labels).filter(F.col("good_upper") < MIN_GOOD).select(F.col("host").alias("_refused")))
-    return pages.join(small(refused), host_of(pages["url"]) == F.col("_refused"), "left_anti")
+    key = free("_refused", pages.columns)
+    refused = checkpointed(reputations(pages, labels).filter(F.col("good_upper") < MIN_GOOD).select(F.col("host").alias(key)))
+    return pages.join(small(refused), host_of(pages["url"]) == F.col(key), "left_anti")
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,8 +108,8 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _level(name: str, source: str, keys: str) -> str:
     return f"""
 {name}_m AS (
-  SELECT CASE WHEN room > 0 AND excess > 0 THEN least({STRONGEST}::DOUBLE, greatest({WEAKEST}::DOUBLE, 1 / (excess / room) - 1)) ELSE {STRONGEST}::DOUBLE END AS m
-  FROM (SELECT sum(n * (bad / n - mu) * (bad / n - mu) - mu * (1 - mu)) AS excess, sum(mu * (1 - mu) * (n - 1)) AS room FROM {source} WHERE n > 0)),
+  SELECT CASE WHEN nodes < 2 THEN {WEAKEST}::DOUBLE WHEN room > 0 AND excess > 0 THEN least({STRONGEST}::DOUBLE, greatest({WEAKEST}::DOUBLE, 1 / (excess / room) - 1)) ELSE {STRONGEST}::DOUBLE END AS m
+  FROM (SELECT sum(n * (bad / n - mu) * (bad / n - mu) - mu * (1 - mu)) AS excess, sum(mu * (1 - mu) * (n - 1)) AS room, count(*) AS nodes FROM {source} WHERE n > 0)),
 {name} AS (SELECT {keys}, n, bad, (m * mu + bad) / (m + n) AS mean, m + n AS weight FROM {source}, {name}_m)"""
 
 
