@@ -191,10 +191,10 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str = PATTERN
                 some = [t for t in texts if t is not None]
                 made = codec.encode(some)
                 exact = iter([codec.decode(ids) == t for ids, t in zip(made, some)])
-                lists = iter(made)
+                lists, sizes = iter(made), iter(map(len, made))
                 tokens = pa.array([None if t is None else np.array(next(lists), np.int32) for t in texts], pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(at, len(texts)), tokens, pa.array([None if x is None else len(x) for x in tokens], pa.int32()), pa.array([None if t is None else next(exact) for t in texts], pa.bool_())],
+                    [b.column(0).slice(at, len(texts)), tokens, pa.array([None if t is None else next(sizes) for t in texts], pa.int32()), pa.array([None if t is None else next(exact) for t in texts], pa.bool_())],
                     ["doc_id", "tokens", "n_tokens", "exact"],
                 )
                 at += len(texts)
