@@ -105,7 +105,7 @@ class _Decoder:
         if not isinstance(value, dict):
             return self.wrong(at, "must be an object")
         before = len(self.problems)
-        self.known(value, ("type", "name", "files", "symbol", "reference"), at)
+        self.known(value, tuple("type name symbol files reference".split()), at)
         artifact = self.artifact(value.get("type", _MISSING), f"{at}.type", (MARKDOWN, TYPESCRIPT))
         name = value.get("name")
         if name is not None and not isinstance(name, str):
@@ -134,7 +134,7 @@ class _Decoder:
         if not isinstance(value, dict):
             return self.wrong(at, "must be an object")
         before = len(self.problems)
-        self.known(value, ("type", "package", "file", "files", "symbol"), at)
+        self.known(value, tuple("type file files package symbol".split()), at)
         artifact = self.artifact(value.get("type", _MISSING), f"{at}.type", (MARKDOWN, OPENAPI, TYPESCRIPT))
         globs, patterns, source, entry, package = None, (), None, None, None
         if artifact != TYPESCRIPT and "package" in value:

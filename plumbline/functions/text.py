@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 #: Any white space, the Unicode separators and NEL included.
 BLANK = "[\\s\\x{85}\\p{Z}]"
 #: Kinds in the order in which they are listed for people.
-KINDS = ("file", "h1", "h2", "h3", "h4", "operation", "type", "function", "property")
-MODULE_ENDINGS = (".ts", ".tsx", ".mts", ".cts", ".d.ts", ".d.mts", ".d.cts")
+KINDS = tuple("file h1 h2 h3 h4 operation type function property".split())
+MODULE_ENDINGS = tuple(f".{x}" for x in "ts tsx mts cts d.ts d.mts d.cts".split())
 
 
 def tag_of(line: Column) -> Column:
@@ -49,7 +49,7 @@ def slug(heading: Column) -> Column:
 
 def anchor(heading: Column) -> Column:
     """Explicit anchor at the end of a heading, else its slug."""
-    named = F.regexp_extract(heading, "\\s*\\{#([A-Za-z0-9][A-Za-z0-9._:-]*)\\}\\s*$", 1)
+    named = F.regexp_extract(heading, "\\{#(\\p{Alnum}[\\p{Alnum}:._-]*)\\}\\s*$", 1)
     return F.when(named != "", named).otherwise(slug(heading))
 
 
@@ -58,7 +58,7 @@ def operation_target(method: Column, path: Column) -> Column:
 
 
 def sound_method(method: Column) -> Column:
-    return method.rlike("^[!#$%&'*+\\-.^_`|~0-9A-Za-z]+$")
+    return method.rlike("^[0-9A-Za-z~|`_^.*+'&%$#!-]+$")
 
 
 def redacted(source: Column) -> Column:

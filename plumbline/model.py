@@ -7,7 +7,7 @@ Absent is NULL throughout. ``scan`` rows are what a scanner gives for one file;
 from __future__ import annotations
 
 MARKDOWN, OPENAPI, TYPESCRIPT = "markdown", "swagger", "typescript"
-KINDS = {MARKDOWN: ("file", "h1", "h2", "h3", "h4"), TYPESCRIPT: ("type", "function", "property"), OPENAPI: ("operation",)}
+KINDS = {MARKDOWN: tuple("file h1 h2 h3 h4".split()), TYPESCRIPT: ("type", "function", "property"), OPENAPI: ("operation",)}
 
 FILES = "path string, content binary"
 UNIT = "id string, parent_id string, target string, identity array<string>, aliases array<string>, artifact string, symbol string, path string, line int, readable string"

@@ -325,10 +325,10 @@ def anchor_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(r"""
 SELECT page_id, unnest(range(1, len(found) + 1)) - 1 AS k, trim(unnest(found)) AS body
-FROM (SELECT page_id, regexp_extract_all(html, '(?s)<!--(.*?)-->', 1) AS found FROM pages)""")
+FROM (SELECT page_id, regexp_extract_all(html, '<!--((?s:.*?))-->', 1) AS found FROM pages)""")
 def html_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every comment of a page, in order."""
-    found = F.regexp_extract_all("html", F.lit("(?s)<!--(.*?)-->"), 1)
+    found = F.regexp_extract_all("html", F.lit("<!--((?s:.*?))-->"), 1)
     return _table(spark, sf_dir, "pages").select("page_id", F.posexplode(found).alias("k", "body")).withColumn("body", F.trim("body"))
 
 

@@ -8,7 +8,7 @@ from plumbline.sources.tags import line_of, tags
 
 _FENCE = re.compile(r" {0,3}(`{3,}|~{3,})(.*)", re.DOTALL)
 _HEADING = re.compile(r" {0,3}(#{1,6})(?=[ \t]|$)(.*)", re.DOTALL)
-_ANCHOR = re.compile(r"\s*\{#([A-Za-z0-9][A-Za-z0-9._:-]*)\}\s*$")
+_ANCHOR = re.compile(r"\s*\{#((?a:[^\W_][\w:.-]*))\}\s*$")
 _COMMENT = re.compile(r"<!--(.*?)-->", re.DOTALL)
 
 

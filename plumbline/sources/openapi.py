@@ -8,9 +8,9 @@ from collections.abc import Callable
 from urllib.parse import urlsplit, urlunsplit
 from urllib.request import urlopen
 
-METHODS = ("get", "post", "put", "delete", "options", "head", "patch", "trace", "query")
+METHODS = tuple("get post put delete options head patch trace query".split())
 MOST_BYTES = 16 << 20
-_METHOD = re.compile(r"[!#$%&'*+\-.^_`|~0-9A-Za-z]+")
+_METHOD = re.compile(r"[0-9A-Za-z~|`_^.*+'&%$#!-]+")
 
 
 class SourceError(ValueError):

@@ -824,7 +824,7 @@ class _Collector:
         self.nodes: dict[str, list[tuple[int, bool]]] = {}
         self.hosts: dict[int, set[str]] = {}
         self.name = self.reader.name_text
-        self.collect(self.statements, [], None, path.endswith((".d.ts", ".d.mts", ".d.cts")), False, False)
+        self.collect(self.statements, [], None, path.endswith(tuple(f".d.{x}ts" for x in ("", "m", "c"))), False, False)
 
     def line(self, k: int) -> int:
         return line_of(self.text, self.tokens[k].start)

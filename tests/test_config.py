@@ -10,17 +10,22 @@ from plumbline.config import ConfigError, decode_documented, decode_graph
 from plumbline.functions.globs import GlobError, GlobSet, compile_glob, glob_table, members
 from plumbline.operators.modules import candidates_of, module_names, package_entry
 
-REF = {"type": "markdown", "files": ["docs/**"]}
+REF = dict(type="markdown", files=["docs/**"])
 
 
 def config(claim=None, **reference):
-    return {"claims": [{"type": "markdown", "files": ["*.md"], "reference": {**REF, **reference}} | (claim or {})]}
+    return {"claims": [dict(type="markdown", files=["*.md"], reference=REF | reference) | (claim or {})]}
+
+
+def cites(kind, **reference):
+    """One claim of a kind with this reference."""
+    return {"claims": [dict(type=kind, files=["a"], reference=reference)]}
 
 
 def test_defaults():
     c = decode_graph(config()).claims[0]
-    assert c.symbols == c.references[0].symbols == ("file", "h1", "h2", "h3", "h4")
-    ts = decode_graph({"claims": [{"type": "typescript", "files": ["src/**"], "reference": [{"type": "typescript", "file": "./src/../api.ts"}, {"type": "swagger", "file": "a.yaml"}]}]}).claims[0]
+    assert c.symbols == c.references[0].symbols == tuple("file h1 h2 h3 h4".split())
+    ts = decode_graph({"claims": [dict(type="typescript", files=["src/**"], reference=[dict(type="typescript", file="./src/../api.ts"), dict(type="swagger", file="a.yaml")])]}).claims[0]
     assert ts.symbols == ("type", "function", "property")
     assert (ts.references[0].symbols, ts.references[0].entry, ts.references[0].by_entry) == (("type",), "api.ts", True)
     assert ts.references[1].symbols == ("operation",)
@@ -53,11 +58,11 @@ def test_defaults():
         config(file="a.md"),
         config(package="x"),
         config(type="swagger"),
-        {"claims": [{"type": "typescript", "files": ["a"], "reference": {"type": "typescript"}}]},
-        *[{"claims": [{"type": "typescript", "files": ["a"], "reference": {"type": "typescript", "file": "a", "files": ["b"]}}]}],
-        *[{"claims": [{"type": "typescript", "files": ["a"], "reference": {"type": "typescript", "file": f}}]} for f in ("", " a", "/a", "../a", ".", 1)],
-        *[{"claims": [{"type": "typescript", "files": ["a"], "reference": {"type": "typescript", "package": p}}]} for p in ("", "./x", "/x", "a/b", "@a", "@a/b/c", 1)],
-        *[{"claims": [{"type": "markdown", "files": ["a"], "reference": {"type": "swagger", "file": f}}]} for f in ("", "ftp://x/y", "http://", "http://x/y#z", "/a", "../a", 5)],
+        cites("typescript", type="typescript"),
+        cites("typescript", type="typescript", file="a", files=["b"]),
+        *[cites("typescript", type="typescript", file=f) for f in ("", " a", "/a", "../a", ".", 1)],
+        *[cites("typescript", type="typescript", package=p) for p in ("", "./x", "/x", "a/b", "@a", "@a/b/c", 1)],
+        *[cites("markdown", type="swagger", file=f) for f in ("", "ftp://x/y", "http://", "http://x/y#z", "/a", "../a", 5)],
     ],
 )
 def test_refused(bad):
@@ -67,7 +72,7 @@ def test_refused(bad):
 
 def test_all_problems_are_told_in_order():
     with pytest.raises(ConfigError) as e:
-        decode_graph({"claims": [{"type": "markdown", "files": ["../a"], "reference": {}, "zz": 1, "aa": 2}]})
+        decode_graph({"claims": [dict(type="markdown", files=["../a"], reference={}, zz=1, aa=2)]})
     assert [re.sub(":.*", "", p.split(", ", 1)[1]) for p in e.value.problems] == ["claims[0].aa", "claims[0].zz", "claims[0].files", "claims[0].reference.type", "claims[0].reference.files"]
 
 

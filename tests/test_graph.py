@@ -21,8 +21,8 @@ def codes(g):
 
 
 def md_claim(symbol=None, ref_symbol=("h2", "h3"), **more):
-    reference = {"type": "markdown", "files": ["spec/**"], "symbol": list(ref_symbol)}
-    return {"type": "markdown", "files": ["ledger/*.md"], "reference": reference, **({"symbol": symbol} if symbol else {}), **more}
+    reference = dict(type="markdown", files=["spec/**"], symbol=list(ref_symbol))
+    return dict(type="markdown", files=["ledger/*.md"], reference=reference, **({"symbol": symbol} if symbol else {}), **more)
 
 
 def test_one_missing_unit(spark):
@@ -57,7 +57,7 @@ def test_out_of_scope_host(spark):
 
 def test_claims_and_references_never_pool(spark):
     other = md_claim() | {"files": ["other/*.md"]}
-    two = md_claim() | {"reference": [{"type": "markdown", "files": ["spec/**"], "symbol": "h3"}, {"type": "markdown", "files": ["spec/**"], "symbol": "h2"}]}
+    two = md_claim() | {"reference": [dict(type="markdown", files=["spec/**"], symbol="h3"), dict(type="markdown", files=["spec/**"], symbol="h2")]}
     g = graph(spark, {"spec/a.md": SPEC, "ledger/l.md": "<!-- @evidence spec/a.md#retry x -->", "other/o.md": "text"}, [two, other])
     assert codes(g) == [("missing", 0, 1), ("missing", 0, 1), ("missing", 1, 0), ("missing", 1, 0), ("missing", 1, 0)]
 
@@ -82,28 +82,28 @@ def test_blank_in_path_and_empty_anchor(spark):
     assert [c for c, *_ in codes(g)] == ["markdown_unusable", "markdown_unusable"]
 
 
-API = json.dumps({"openapi": "3.1.0", "paths": {"/members": {"get": {}, "post": {}}, "/a": {"additionalOperations": {"copy": {}}}}})
+API = json.dumps(dict(openapi="3.1.0", paths={"/members": dict(get={}, post={}), "/a": dict(additionalOperations=dict(copy={}))}))
 
 
 def test_operations(spark):
-    claim = {"type": "markdown", "files": ["l.md"], "reference": {"type": "swagger", "file": "api.json"}}
+    claim = dict(type="markdown", files=["l.md"], reference=dict(type="swagger", file="api.json"))
     g = graph(spark, {"api.json": API, "l.md": "<!-- @evidence POST:/members x -->"}, [claim])
     assert sorted(r.unit_id for r in g.missing.collect()) == ["swagger:api.json:COPY:/a", "swagger:api.json:GET:/members"]
     old = graph(spark, {"api.json": API.replace("3.1.0", "1.2"), "l.md": ""}, [claim])
     assert codes(old) == [("api_unusable", None, None)]
     none = graph(spark, {"l.md": ""}, [claim])
     assert codes(none) == [("api_unusable", None, None)]
-    remote = claim | {"reference": {"type": "swagger", "file": "https://me:secret@x.test/api?key=1"}}
+    remote = claim | {"reference": dict(type="swagger", file="https://me:secret@x.test/api?key=1")}
     g = graph(spark, {"l.md": ""}, [remote], fetch=lambda _: API.encode())
     assert len(codes(g)) == 3 and all("secret" not in r.message and "key" not in r.message for r in g.diagnostics.collect())
 
 
-TS_REF = {"type": "typescript", "files": ["api/**"], "symbol": ["type", "function"]}
+TS_REF = dict(type="typescript", files=["api/**"], symbol=["type", "function"])
 API_TS = "export interface ISale { price: number }\nexport function get(): void {}\n"
 
 
 def ts_claim(**reference):
-    return {"type": "typescript", "files": ["src/**"], "reference": {**TS_REF, **reference}}
+    return dict(type="typescript", files=["src/**"], reference=TS_REF | reference)
 
 
 def cite(*targets, imports='import type { ISale, get } from "../api/sale";'):
@@ -134,7 +134,7 @@ def test_each_step_has_its_own_failure(spark, target, imports, code):
 
 
 def test_link_in_markdown_and_two_kinds_of_one_name(spark):
-    claim = {"type": "markdown", "files": ["l.md"], "reference": TS_REF | {"symbol": "type"}}
+    claim = dict(type="markdown", files=["l.md"], reference=TS_REF | dict(symbol="type"))
     g = graph(spark, {"api/sale.ts": API_TS, "l.md": "<!-- @evidence {@link ISale} x -->\n<!-- @evidence ISale x -->"}, [claim])
     assert [c for c, *_ in codes(g)] == ["link_not_typescript"]
     both = "export interface X {}\nexport function X() {}\n"
@@ -150,32 +150,32 @@ def test_entry_population(spark):
         "api/alone.ts": "export interface Unreached {}\n",
         "src/a.ts": "export const x = 1;\n",
     }
-    claim = {"type": "typescript", "files": ["src/**"], "reference": {"type": "typescript", "file": "api/index", "symbol": ["type", "property"]}}
+    claim = dict(type="typescript", files=["src/**"], reference=dict(type="typescript", file="api/index", symbol=["type", "property"]))
     g = graph(spark, files, [claim])
     units = {r.target: sorted(r.aliases) for r in g.reference_units.collect()}
     assert units == {"Deep": ["Renamed"], "Deep.x": ["Renamed.x"], "ns.B": [], "ns.B.y": [], "ns.Hidden": []}
     used = files | {"src/a.ts": cite("{@link Renamed}", "{@link ns}", "{@link ns.B}", "{@link ns.Hidden}", imports='import { Renamed, ns } from "../api";')}
     g = graph(spark, used, [claim])
     assert [c for c, *_ in codes(g)] == ["unreachable"]
-    lost = graph(spark, files, [claim | {"reference": {"type": "typescript", "file": "api/gone"}}])
+    lost = graph(spark, files, [claim | {"reference": dict(type="typescript", file="api/gone")}])
     assert codes(lost) == [("entry_missing", 0, 0)]
 
 
 def test_package_population(spark):
     files = {
-        "node_modules/@x/sdk/package.json": json.dumps({"exports": {".": {"import": {"types": "./lib/index.d.ts"}}}}),
+        "node_modules/@x/sdk/package.json": json.dumps(dict(exports={".": {"import": dict(types="./lib/index.d.ts")}})),
         "node_modules/@x/sdk/lib/index.d.ts": 'export * from "./api/sale";\n',
         "node_modules/@x/sdk/lib/api/sale.d.ts": "export interface ISale { price: number }\nexport interface IOther {}\n",
         "node_modules/@x/sdk/node_modules/y/i.d.ts": "export interface Nested {}\n",
         "src/a.ts": cite("{@link ISale}", imports='import type { ISale } from "@x/sdk";'),
     }
-    by_entry = {"type": "typescript", "files": ["src/**"], "reference": {"type": "typescript", "package": "@x/sdk"}}
+    by_entry = dict(type="typescript", files=["src/**"], reference=dict(type="typescript", package="@x/sdk"))
     g = graph(spark, files, [by_entry])
     assert [(r.code, r.message.split("'")[1]) for r in g.diagnostics.collect()] == [("missing", "IOther")]
-    by_glob = by_entry | {"reference": {"type": "typescript", "package": "@x/sdk", "files": ["lib/**"]}}
+    by_glob = by_entry | {"reference": dict(type="typescript", package="@x/sdk", files=["lib/**"])}
     g = graph(spark, files, [by_glob])
     assert sorted(r.target for r in g.reference_units.collect()) == ["IOther", "ISale"]
-    none = by_entry | {"reference": {"type": "typescript", "package": "@x/sdk", "files": ["dist/**"]}}
+    none = by_entry | {"reference": dict(type="typescript", package="@x/sdk", files=["dist/**"])}
     assert ("ref_no_files", 0, 0) in codes(graph(spark, files, [none]))
 
 
