@@ -37,6 +37,9 @@ PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\
 REMEMBERED = 300_000
 #: Longer words aren't remembered.
 LONG = 64
+#: Bytes up to which a list of pair ranks is quicker than a heap.
+SHORT = 48
+_NONE = 1 << 60
 
 
 class Codec:
@@ -46,7 +49,8 @@ class Codec:
         self.ranks = ranks
         self.pattern = regex.compile(pattern)
         self.tokens = {i: t for t, i in ranks.items()}
-        self.prefixes = {t[:k] for t in ranks for k in range(1, len(t) + 1)}
+        #: rank of every token, -1 for what only begins one
+        self.prefixes = {t[:k]: -1 for t in ranks for k in range(1, len(t))} | ranks
         self.words: dict[str, list[int]] = {}
         self.pairs: dict[int, bool] = {}
         self.failed = self.seen = 0
@@ -57,20 +61,36 @@ class Codec:
 
     def propose(self, word: bytes) -> list[int]:
         """Greedy longest match; every byte is a token."""
-        ranks, prefixes = self.ranks, self.prefixes
+        get = self.prefixes.get
         out, at, n = [], 0, len(word)
         while at < n:
-            end, best = at + 1, at + 1
-            while end <= n and (piece := word[at:end]) in prefixes:
-                if piece in ranks:
-                    best = end
+            end = best = at
+            while end < n and (rank := get(word[at : end + 1])) is not None:
                 end += 1
-            out.append(ranks[word[at:best]])
+                if rank >= 0:
+                    best, token = end, rank
+            out.append(token)
             at = best
         return out
 
     def merge(self, word: bytes) -> list[int]:
         """Exact merging: the pair of least rank first, the leftmost of equal ones."""
+        if len(word) > SHORT:
+            return self.merge_long(word)
+        get = self.ranks.get
+        cuts = list(range(len(word) + 1))
+        ranks = [get(word[i : i + 2], _NONE) for i in range(len(word) - 1)]
+        while ranks and (least := min(ranks)) != _NONE:
+            i = ranks.index(least)
+            del cuts[i + 1], ranks[i]
+            if i < len(ranks):
+                ranks[i] = get(word[cuts[i] : cuts[i + 2]], _NONE)
+            if i:
+                ranks[i - 1] = get(word[cuts[i - 1] : cuts[i + 1]], _NONE)
+        return [self.ranks[word[a:z]] for a, z in zip(cuts, cuts[1:])]
+
+    def merge_long(self, word: bytes) -> list[int]:
+        """The same with a heap, for words of any length."""
         ranks = self.ranks
         n = len(word)
         nxt, prev = list(range(1, n + 1)), list(range(-1, n - 1))
