@@ -7,6 +7,7 @@ acknowledge nations, pages are files with addresses.
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -32,10 +33,12 @@ def _query(sql: str) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
+    importlib.import_module("plumbline.plans.projects")
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    importlib.import_module("plumbline.plans.projects")
     return dict(_SQL)
 
 
