@@ -65,7 +65,7 @@ def test_catalogue_has_sql_for_every_query():
     assert set(catalogue.queries()) == set(catalogue.oracle_sql()) and len(catalogue.queries()) >= 27
 
 
-@pytest.mark.parametrize("name", ["missing_ack_by_claim", "target_cardinality", "ordered_globs", "prefix_containment", "scope_cascade_coverage", "nearest_heading_host", "alias_canonical", "ranked_hints"])
+@pytest.mark.parametrize("name", ["missing_ack_by_claim", "target_cardinality", "ordered_globs", "prefix_containment", "scope_cascade_coverage", "nearest_heading_host", "alias_canonical", "ranked_hints", "graph_rule", "markdown_scan", "openapi_scan", "singular_rule", "documented_rule", "typescript_scan"])
 def test_catalogue_against_sql(spark, name):
     con = duckdb.connect()
     for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "labels", "conversations"):
