@@ -93,7 +93,8 @@ def _within(measured: DataFrame, limits: DataFrame) -> DataFrame:
     limits = limits.withColumnsRenamed({"lang": "_klang", "source": "_ksource"})
     on = measured["lang"].eqNullSafe(limits["_klang"]) & measured["source"].eqNullSafe(limits["_ksource"])
     for s in SPREADS:
-        on &= measured[s] <= limits[f"{s}_max"]
+        # not a bare comparison: from that the optimiser infers filters that measure every text again
+        on &= F.coalesce(measured[s] <= limits[f"{s}_max"], F.lit(False))
     return measured.join(limits, on, "left_semi")
 
 
