@@ -8,7 +8,8 @@ still processed whole.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,7 @@ def powers(kind: str, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd base modulo 2**64 and their inverses, at least n of each."""
     have = _powers.get(kind)
     if have is None or len(have[0]) < n:
-        size = max(n, 2 * CHUNK)
+        size = max(n, CHUNK // (2 if kind == "token" else 1) + 2)
         base = _BASES[kind]
         inverse = pow(base, -1, 1 << 64)
         made = []
@@ -45,6 +46,25 @@ def powers(kind: str, n: int) -> tuple[np.ndarray, np.ndarray]:
     return have
 
 
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run, after which the worker gives the memory that it doesn't use back to the machine.
+
+    Workers are kept from task to task and stage to stage, with what their allocators hold.
+    """
+
+    def tidied(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):  # another C library
+                pass
+
+    return tidied
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Finaliser that spreads every input bit over the word."""
     x = x ^ (x >> U64(30))

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .bytekernels import SPACE, U64, chunks, column
+from .bytekernels import SPACE, U64, chunks, column, tidy
 from .storage import free
 
 BUCKETS = 1 << 16
@@ -231,7 +231,7 @@ def _judged(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
             arrays += [names.take(pa.array(found[found >= 0])), pa.array(conf.round(6)).take(sel)]
             yield pa.RecordBatch.from_arrays(arrays, [*keep, *made])
 
-    return kept.mapInArrow(run, f"{fields}, {made[0]} string, {made[1]} double")
+    return kept.mapInArrow(tidy(run), f"{fields}, {made[0]} string, {made[1]} double")
 
 
 def language_scores(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:

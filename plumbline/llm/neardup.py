@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .bytekernels import NONWORD, U64, chunks, column, gram_hashes, mix, owners, token_hashes, tokens
+from .bytekernels import NONWORD, U64, chunks, column, gram_hashes, mix, owners, tidy, token_hashes, tokens
 from .storage import checkpointed, free, small, written
 
 SHINGLE = 3
@@ -117,7 +117,7 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
 
     schema = "part int, counts binary, texts long"
     lowered = docs.filter("doc_id is not null and text is not null").select(F.lower("text").alias("_lowered"))
-    rows = lowered.mapInArrow(count, schema).groupBy("part").applyInArrow(total, schema).collect()
+    rows = lowered.mapInArrow(tidy(count), schema).groupBy("part").applyInArrow(total, schema).collect()
     slots = np.zeros(DF_SLOTS, np.int64)
     for part, counts, _ in rows:
         slots[part * SLICE : (part + 1) * SLICE] = np.frombuffer(counts, np.int64)
@@ -177,7 +177,7 @@ def signatures(docs: DataFrame, idf: np.ndarray) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array(some + lo)), pa.array(whole[some].view(np.int64)), pa.array(forms.view(np.int64)), lists], ["doc_id", "form", "form2", "bands"])
 
     rows = docs.filter("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.lower("text").alias("_lowered"))
-    return rows.mapInArrow(run, "doc_id long, form long, form2 long, bands array<long>")
+    return rows.mapInArrow(tidy(run), "doc_id long, form long, form2 long, bands array<long>")
 
 
 def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], idf: np.ndarray) -> float:
@@ -217,7 +217,7 @@ def verified(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, threshold: flo
                 ok = pa.array(np.flatnonzero(sim >= threshold))
                 yield pa.RecordBatch.from_arrays([b.column(0).take(ok), b.column(1).take(ok), pa.array(sim).take(ok)], ["a", "b", "similarity"])
 
-    return joined.mapInArrow(run, "a long, b long, similarity double")
+    return joined.mapInArrow(tidy(run), "a long, b long, similarity double")
 
 
 def components(edges: DataFrame) -> DataFrame:

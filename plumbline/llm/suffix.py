@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .bytekernels import SPACE, U64, binary, chunks, column, gram_hashes, mix, owners, sliding_min, token_hashes, tokens
+from .bytekernels import SPACE, U64, binary, chunks, column, gram_hashes, mix, owners, sliding_min, tidy, token_hashes, tokens
 from .storage import checkpointed, free, small, written
 
 #: Tokens of a window.
@@ -87,7 +87,7 @@ def anchors(docs: DataFrame, depth: int = DEPTH, digit: int = DIGIT) -> DataFram
                     doc = owners(bounds)[starts[first]] + lo
                     yield pa.RecordBatch.from_arrays([pa.array(least[first].view(np.int64)), ids.take(pa.array(doc))], ["anchor", "doc_id"])
 
-    return docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("_text")).mapInArrow(run, "anchor long, doc_id long")
+    return docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("_text")).mapInArrow(tidy(run), "anchor long, doc_id long")
 
 
 def _suffix_runs(docs: DataFrame, depth: int, digit: int) -> DataFrame:
@@ -131,7 +131,7 @@ def _suffix_runs(docs: DataFrame, depth: int, digit: int) -> DataFrame:
                 )
 
     kept = docs.select("doc_id", "_text", "_anchors")
-    return kept.mapInArrow(run, "anchor long, doc_id long, pos int, shift int, tokens binary")
+    return kept.mapInArrow(tidy(run), "anchor long, doc_id long, pos int, shift int, tokens binary")
 
 
 def radix_groups(digits: np.ndarray) -> np.ndarray:
@@ -235,7 +235,7 @@ def marked_stretches(runs: DataFrame, depth: int, digit: int) -> DataFrame:
 
     # every copy of a window is in the partition of its anchor
     placed = runs.repartition("anchor").sortWithinPartitions("anchor", "doc_id", "pos")
-    return placed.mapInArrow(run, "doc_id long, lo long, hi long, first_doc_id long")
+    return placed.mapInArrow(tidy(run), "doc_id long, lo long, hi long, first_doc_id long")
 
 
 def repeated_spans(docs: DataFrame, depth: int = DEPTH, digit: int = DIGIT) -> DataFrame:
@@ -255,7 +255,7 @@ def repeated_spans(docs: DataFrame, depth: int = DEPTH, digit: int = DIGIT) -> D
             flat = np.asarray(a.values)[off[0] : off[-1]]
             yield pa.RecordBatch.from_arrays([b.column(0), binary((off - off[0]) * 8, flat)], ["doc_id", "_anchors"])
 
-    packed = lists.mapInArrow(pack, "doc_id long, _anchors binary")
+    packed = lists.mapInArrow(tidy(pack), "doc_id long, _anchors binary")
     texts = docs.filter("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("_text"))
     runs = _suffix_runs(texts.join(packed, "doc_id"), depth, digit)
     marks = marked_stretches(runs, depth, digit)

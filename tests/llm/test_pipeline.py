@@ -111,3 +111,9 @@ def test_scratch_is_in_the_shared_folder(spark):
     assert storage.free("A", ["a", "b", "a_"]) == "A__"
     assert storage.small(spark.range(5), 5)._jdf.queryExecution().logical().toString().find("broadcast") >= 0
     assert storage.small(spark.range(6), 5)._jdf.queryExecution().logical().toString().find("broadcast") < 0
+
+
+def test_tidy_passes_all_on():
+    from plumbline.llm.bytekernels import tidy
+
+    assert list(tidy(lambda xs: (x + 1 for x in xs))(iter([1, 2]))) == [2, 3]
