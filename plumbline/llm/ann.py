@@ -1,15 +1,18 @@
 """Approximate nearest neighbours on robust-pruned directed graphs.
 
-Vectors are spread over shards of at most SHARD vectors by a hash of their id.
+Identical vectors are one node with the ids of its copies. Distinct vectors are
+spread over shards of at most SHARD by a hash of their least id.
 A shard's graph is grown in batches: a greedy beam search from the medoid on the
 graph so far, and the batch's own members, propose neighbours; robust pruning
 keeps the nearest proposal and drops those that are ALPHA times closer to a kept
 one than to the point, until DEGREE diverse edges are kept; reverse edges are
 added and overfull points pruned again. Queries run a beam search in every shard
-of their dimension and the shards' best K are merged. All steps are numpy over
+of their dimension and the shards' best K are merged; then nodes give way to
+their ids, and copies of the query's own vector, which need no search, come
+first. All steps are numpy over
 blocks of points. Distances are squared Euclidean.
 
-Every vector is a query; it isn't its own neighbour. Shards meet slices of at
+Every row is a query; it isn't its own neighbour. Shards meet slices of at
 most SLICE queries, so no task holds all queries or all vectors; the work is
 queries times shards, as each shard is searched.
 
@@ -191,8 +194,14 @@ def neighbours(table: DataFrame, k: int = K, shard: int = SHARD, slice_rows: int
     """(vec_id, neighbor_id, rank, distance): the k nearest others of every vector, rank from 1."""
     sound = table.filter("vec_id is not null and embedding is not null and size(embedding) > 0 and not exists(embedding, x -> x is null or isnan(x) or abs(x) = double('inf'))")
     rows = sound.groupBy(F.col("vec_id").cast("long").alias("vec_id")).agg(F.min(F.col("embedding").cast("array<float>")).alias("embedding"))
-    rows = written(rows.withColumn("dim", F.size("embedding")), "vectors")
-    counts = {r[0]: r[1] for r in rows.groupBy("dim").count().collect()}
+    # -0.0 is 0.0, so equal vectors are equal bit by bit
+    rows = rows.withColumn("embedding", F.transform("embedding", lambda x: x + F.lit(0).cast("float")))
+    rows = written(rows.withColumn("dim", F.size("embedding")).withColumn("key", F.xxhash64("embedding")), "vectors")
+    # k + 1 ids are enough of any node; WindowGroupLimit keeps no more of them a task
+    lowest = F.row_number().over(W.partitionBy("key", "embedding").orderBy("vec_id"))
+    same = rows.withColumn("_k", lowest).filter(F.col("_k") <= k + 1).groupBy("key", "embedding").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
+    nodes = written(same.select("key", "embedding", "ids", F.col("ids")[0].alias("node"), F.size("embedding").alias("dim")), "nodes")
+    counts = {r[0]: r[1] for r in nodes.groupBy("dim").count().collect()}
     if not counts:
         return table.sparkSession.createDataFrame([], "vec_id long, neighbor_id long, rank int, distance double")
 
@@ -200,47 +209,57 @@ def neighbours(table: DataFrame, k: int = K, shard: int = SHARD, slice_rows: int
         pairs = [F.lit(x) for d, n in counts.items() for x in (d, max(1, -(-n // per)))]
         return F.create_map(*pairs)[F.col("dim")].cast("long")
 
-    placed = rows.withColumn("shards", by_dim(shard)).withColumn("slices", by_dim(slice_rows)).withColumn("h", F.xxhash64("vec_id"))
+    placed = nodes.withColumn("shards", by_dim(shard)).withColumn("slices", by_dim(slice_rows)).withColumn("h", F.xxhash64("node"))
     schema = "dim int, shard long, ids binary, vectors binary, graph binary, start long"
 
     def grow(key: tuple, t: pa.Table) -> pa.Table:
         dim = key[0].as_py()
-        order = np.argsort(np.asarray(t.column("vec_id").combine_chunks()), kind="stable")
+        order = np.argsort(np.asarray(t.column("node").combine_chunks()), kind="stable")
         t = t.take(pa.array(order))
         vectors = _matrix(t.column("embedding"), dim)
         graph, start = build(vectors)
-        blobs = [np.asarray(t.column("vec_id").combine_chunks()).astype("<i8"), vectors.astype("<f4"), graph.astype("<i4")]
+        blobs = [np.asarray(t.column("node").combine_chunks()).astype("<i8"), vectors.astype("<f4"), graph.astype("<i4")]
         return pa.table({"dim": pa.array([dim], pa.int32()), "shard": pa.array([key[1].as_py()], pa.int64()), **{n: pa.array([x.tobytes()], pa.binary()) for n, x in zip(("ids", "vectors", "graph"), blobs)}, "start": pa.array([start], pa.int64())})
 
-    sharded = placed.select("vec_id", "embedding", "dim", F.expr("pmod(h, shards)").alias("shard"))
+    sharded = placed.select("node", "embedding", "dim", F.expr("pmod(h, shards)").alias("shard"))
     # one partition a shard, which the size of the rows would otherwise merge
     total = sum(max(1, -(-n // shard)) for n in counts.values())
     graphs = written(sharded.repartition(total, "dim", "shard").groupBy("dim", "shard").applyInArrow(grow, schema), "graphs")
     slices = {d: max(1, -(-n // slice_rows)) for d, n in counts.items()}
     sides = F.create_map(*[F.lit(x) for d, n in slices.items() for x in (d, n)])[F.col("dim")].cast("long")
     left = graphs.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), sides - 1)))
-    right = placed.select("vec_id", "embedding", "dim", F.expr("pmod(shiftright(h, 20), slices)").alias("part"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1)).alias("shard"))
+    # a node of more than k ids has its neighbours among them
+    right = placed.filter(F.size("ids") <= k).select("node", "embedding", "dim", F.expr("pmod(shiftright(h, 20), slices)").alias("part"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1)).alias("shard"))
 
     def look(key: tuple, g: pa.Table, q: pa.Table) -> pa.Table:
-        empty = {"vec_id": pa.array([], pa.int64()), "neighbor_id": pa.array([], pa.int64()), "distance": pa.array([], pa.float64())}
+        empty = {"node": pa.array([], pa.int64()), "hit": pa.array([], pa.int64()), "distance": pa.array([], pa.float64())}
         if not g.num_rows or not q.num_rows:
             return pa.table(empty)
         dim = key[0].as_py()
         ids = np.frombuffer(g.column("ids")[0].as_py(), "<i8")
         vectors = np.frombuffer(g.column("vectors")[0].as_py(), "<f4").reshape(-1, dim)
         graph = np.frombuffer(g.column("graph")[0].as_py(), "<i4").reshape(len(ids), -1)
-        queries, own = _matrix(q.column("embedding"), dim), np.asarray(q.column("vec_id").combine_chunks())
+        queries, own = _matrix(q.column("embedding"), dim), np.asarray(q.column("node").combine_chunks())
         found, _ = search(vectors, graph, g.column("start")[0].as_py(), queries, k + 1)
         row, col = np.nonzero(found >= 0)
         hit = found[row, col]
         row, hit = row[ids[hit] != own[row]], hit[ids[hit] != own[row]]
         apart = vectors[hit].astype(np.float64) - queries[row].astype(np.float64)
-        return pa.table({"vec_id": pa.array(own[row]), "neighbor_id": pa.array(ids[hit]), "distance": pa.array(np.einsum("ij,ij->i", apart, apart))})
+        return pa.table({"node": pa.array(own[row]), "hit": pa.array(ids[hit]), "distance": pa.array(np.einsum("ij,ij->i", apart, apart))})
 
     keys = ["dim", "shard", "part"]
-    hits = right.groupBy(*keys).cogroup(left.groupBy(*keys)).applyInArrow(lambda key, q, g: look(key, g, q), "vec_id long, neighbor_id long, distance double")
+    hits = right.groupBy(*keys).cogroup(left.groupBy(*keys)).applyInArrow(lambda key, q, g: look(key, g, q), "node long, hit long, distance double")
+    nearest = F.row_number().over(W.partitionBy("node").orderBy("distance", "hit"))
+    near = hits.withColumn("_k", nearest).filter(F.col("_k") <= k)
+    lists = nodes.filter(F.size("ids") > 1)
+    for end in ("node", "hit"):
+        near = near.join(lists.select(F.col("node").alias(end), F.col("ids").alias(f"{end}_ids")), end, "left")
+    near = near.withColumn("vec_id", F.explode(F.coalesce("node_ids", F.array("node")))).select("vec_id", F.explode(F.coalesce("hit_ids", F.array("hit"))).alias("neighbor_id"), "distance")
+    crowds = rows.join(lists.filter(F.size("ids") > k).select("key", "embedding", "ids"), ["key", "embedding"]).select("vec_id", "ids")
+    copies = lists.filter(F.size("ids") <= k).select(F.explode("ids").alias("vec_id"), "ids").unionByName(crowds)
+    copies = copies.select("vec_id", F.explode("ids").alias("neighbor_id"), F.lit(0.0).alias("distance")).filter("vec_id <> neighbor_id")
     rank = F.row_number().over(W.partitionBy("vec_id").orderBy("distance", "neighbor_id"))
-    return hits.withColumn("rank", rank).filter(F.col("rank") <= k).select("vec_id", "neighbor_id", "rank", "distance")
+    return near.unionByName(copies).withColumn("rank", rank).filter(F.col("rank") <= k).select("vec_id", "neighbor_id", "rank", "distance")
 
 
 def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

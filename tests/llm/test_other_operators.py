@@ -74,6 +74,28 @@ def test_neighbours_on_hard_rows(spark):
     assert ann.neighbours(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("shard", [150, 10**6])
+def test_copies_find_each_other_and_the_rest(spark, shard):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(700, 24))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    which = np.concatenate([np.arange(700), np.repeat([0, 1, 2, 3], [400, 100, 20, 5]), np.arange(10, 60)])
+    ids = rng.permutation(len(which))
+    x = x.astype(np.float32)[which]
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x)], "vec_id long, embedding array<float>")
+    got = {}
+    for r in ann.neighbours(df, 10, shard, 400).orderBy("rank").collect():
+        assert r.rank == len(got.setdefault(r.vec_id, [])) + 1
+        got[r.vec_id].append(r.neighbor_id)
+    truth = exact(ids, x, 10)
+    for i, w in zip(ids, which):
+        copies = [j for j in np.sort(ids[which == w]) if j != i][:10]
+        assert len(got[i]) == 10 and got[i][: len(copies)] == copies
+    for few in (True, False):  # queries of small groups, and of all
+        part = [int(i) for i, w in zip(ids, which) if w > 3 or not few]
+        assert np.mean([len(set(got[i]) & set(truth[i])) / 10 for i in part]) >= 0.9
+
+
 def test_many_equal_vectors_still_reach_the_others():
     rng = np.random.default_rng(2)
     x = np.concatenate([np.zeros((400, 8)), rng.normal(size=(200, 8)) * 3]).astype(np.float32)
