@@ -242,6 +242,26 @@ def test_held_out_accuracy_and_whole_texts(spark):
     assert strange.tolist()[:4] == [-1] * 4
 
 
+@pytest.mark.parametrize("count", [2, 3, 4])
+def test_long_texts_of_unlabelled_languages_are_rejected(spark, count):
+    table = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").toPandas()
+    table = table[table.text.str.len() > 20].drop_duplicates("doc_id")
+    langs, half = sorted(table.lang.dropna().unique()), table.doc_id % 2 == 0
+    assert len(langs) == 4
+    seen = table[half & table.lang.isin(langs[:count])].groupby("lang").head(langid.SAMPLE)
+    model = langid.fit([(t.lower(), y) for t, y in zip(seen.text, seen.lang)])
+
+    def kept(texts):
+        return (model.judge(pa.array([t.lower() for t in texts], pa.large_string()))[0] >= 0).mean()
+
+    rest = table[~half]
+    assert kept(rest.text[rest.lang.isin(langs[:count])]) > 0.99
+    others = rest.text[~rest.lang.isin(langs[:count]) & (rest.text.str.len() > 500)]
+    assert not len(others) or kept(others) < 0.25
+    foreign = ["kissa ja koira ovat täällä meidän kanssamme tänään mutta huomenna menemme metsään katsomaan lintuja ", "kedi ve köpek bugün burada bizimle birlikte ama yarın kuşları görmek için ormana gideceğiz ", "кошка и собака сегодня здесь с нами а завтра мы пойдём в лес смотреть на птиц "]
+    assert kept([t * 20 for t in foreign]) == 0
+
+
 def test_long_text_is_pooled_whole():
     model = langid.fit([("aaa bbb abab " * 3, "x"), ("ccc ddd cdcd " * 3, "y")] * 10)
     long = "ccc ddd " * 10 + "aaa bbb " * 400_000
