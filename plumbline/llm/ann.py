@@ -1,26 +1,30 @@
 """Approximate nearest neighbours on robust-pruned directed graphs.
 
 Identical vectors are one node with the ids of its copies. Distinct vectors are
-spread over shards of at most SHARD by a hash of their least id.
-A shard's graph is grown in batches: a greedy beam search from the medoid on the
-graph so far, and the batch's own members, propose neighbours; robust pruning
-keeps the nearest proposal and drops those that are ALPHA times closer to a kept
-one than to the point, until DEGREE diverse edges are kept; reverse edges are
-added and overfull points pruned again. Queries run a beam search in every shard
-of their dimension and the shards' best K are merged; then nodes give way to
-their ids, and copies of the query's own vector, which need no search, come
-first. All steps are numpy over
+spread over shards of at most SHARD vectors and SHARD_BYTES by a hash of their
+least id. A shard's graph is grown in batches: a greedy beam search from the
+medoid on the graph so far, and the batch's own members, propose neighbours;
+robust pruning keeps the nearest proposal and drops those that are ALPHA times
+closer to a kept one than to the point, until DEGREE diverse edges are kept;
+reverse edges are added, WIDTH a point at once, and overfull points pruned
+again, so the memory of a step depends neither on a hub's edges nor on the
+shard. Queries run a beam search in every shard of their dimension and the
+shards' best K are merged; then nodes give way to their ids, and copies of the
+query's own vector, which need no search, come first. All steps are numpy over
 blocks of points. Distances are squared Euclidean.
 
-Every row is a query; it isn't its own neighbour. Shards meet slices of at
-most SLICE queries, so no task holds all queries or all vectors; the work is
-queries times shards, as each shard is searched.
+Every row is indexed. Queries are the rows of the table that ``queries`` names
+(op3: the ids divisible by QUERY_STEP), all rows without it; a row isn't its own
+neighbour. Shards meet slices of at most SLICE queries, so no task holds all
+queries or all vectors; building is linear in the vectors, searching is queries
+times shards.
 
 Defined cases: null and empty vectors, and those with a null or not finite
 component, are neither found nor queries, nor are rows without vec_id. Vectors
 of another length are searched among their like. Rows with one vec_id count once, with the
 least vector. Equal distances are ordered by vec_id. With fewer than K others
-there are fewer rows; an empty table gives none. Further columns play no part.
+there are fewer rows; an empty table, or one without queries, gives none.
+Further columns play no part.
 """
 
 from __future__ import annotations
@@ -38,11 +42,18 @@ from .storage import written
 K = 10
 DEGREE = 32
 BEAM = 64
-SEARCH_BEAM = 96
+SEARCH_BEAM = 256
 ALPHA = 1.2
-SHARD = 12_000
+#: Distinct vectors of a shard, and the bytes of its vectors.
+SHARD, SHARD_BYTES = 50_000, 1 << 26
 SLICE = 50_000
 BLOCK = 512
+#: Marks of seen points that a block of searches may hold.
+SEEN = 1 << 26
+#: New edges that join a point's list before it is pruned; points of a block whose pairs are measured.
+WIDTH, PRUNED = 128, 128
+#: op3's queries are the ids divisible by this.
+QUERY_STEP = 100
 
 
 def beam_search(vectors: np.ndarray, norms: np.ndarray, graph: np.ndarray, start: int, queries: np.ndarray, beam: int, wide: int = 4) -> tuple[np.ndarray, np.ndarray]:
@@ -136,50 +147,60 @@ def build(vectors: np.ndarray, degree: int = DEGREE, beam: int = BEAM, alpha: fl
     while at < n:
         batch = order[at : at + max(64, min(at, 1024))]
         proposed = []
-        for k in range(0, len(batch), BLOCK):
-            part = batch[k : k + BLOCK]
+        block = _block(n)
+        for k in range(0, len(batch), block):
+            part = batch[k : k + block]
             found, _ = beam_search(vectors, norms, graph, start, vectors[part], beam)
             mates = norms[batch][None, :] - 2 * vectors[part] @ vectors[batch].T
             close = batch[np.argpartition(mates, min(16, len(batch) - 1), axis=1)[:, :16]]
             proposed.append(np.concatenate([found, close.astype(np.int32)], axis=1))
-        for k, p in zip(range(0, len(batch), BLOCK), proposed):
-            part = batch[k : k + BLOCK]
-            graph[part] = robust_prune(vectors, norms, part, p, degree, alpha)
+        offers = np.concatenate(proposed)
+        for k in range(0, len(batch), PRUNED):
+            part = batch[k : k + PRUNED]
+            graph[part] = robust_prune(vectors, norms, part, offers[k : k + PRUNED], degree, alpha)
         _add_reverse(vectors, norms, graph, batch, degree, alpha)
         at += len(batch)
     return graph, start
 
 
+def _block(n: int) -> int:
+    """Searches that run together in a graph of n points."""
+    return max(16, min(BLOCK, SEEN // max(1, n)))
+
+
 def _add_reverse(vectors: np.ndarray, norms: np.ndarray, graph: np.ndarray, batch: np.ndarray, degree: int, alpha: float) -> None:
-    """Add the edges back from the neighbours of batch."""
+    """Add the edges back from the neighbours of batch, WIDTH of a point at once."""
     source = np.repeat(batch, degree)
     target = graph[batch].ravel()
     source, target = source[target >= 0], target[target >= 0]
     order = np.argsort(target, kind="stable")
     source, target = source[order], target[order]
     points, first, count = np.unique(target, return_index=True, return_counts=True)
-    for k in range(0, len(points), BLOCK):
-        p, f, c = points[k : k + BLOCK], first[k : k + BLOCK], count[k : k + BLOCK]
-        width = int(c.max())
-        step = np.arange(width)[None, :]
-        new = np.where(step < c[:, None], source[np.minimum(f[:, None] + step, len(source) - 1)], -1)
-        both = np.concatenate([graph[p], new.astype(np.int32)], axis=1)
-        uniq = np.sort(both, axis=1)
-        uniq[:, 1:][uniq[:, 1:] == uniq[:, :-1]] = -1
-        uniq = -np.sort(-uniq, axis=1)  # ids first, -1 last
-        full = uniq.shape[1] > degree and (uniq[:, degree] >= 0)
-        fits = ~full if isinstance(full, np.ndarray) else np.ones(len(p), bool)
-        graph[p[fits]] = uniq[fits][:, :degree]
-        if (~fits).any():
-            # points with very many new edges are pruned in groups of like width
-            graph[p[~fits]] = robust_prune(vectors, norms, p[~fits], uniq[~fits], degree, alpha)
+    by_count = np.argsort(-count, kind="stable")
+    points, first, count = points[by_count], first[by_count], count[by_count]
+    done = 0
+    while len(points) and count[0] > done:
+        live = int(np.searchsorted(-count, -done, "left"))
+        for k in range(0, live, PRUNED):
+            p, f, c = points[k : min(live, k + PRUNED)], first[k : min(live, k + PRUNED)] + done, count[k : min(live, k + PRUNED)] - done
+            step = np.arange(min(WIDTH, int(c.max())))[None, :]
+            new = np.where(step < c[:, None], source[np.minimum(f[:, None] + step, len(source) - 1)], -1)
+            both = np.sort(np.concatenate([graph[p], new.astype(np.int32)], axis=1), axis=1)
+            both[:, 1:][both[:, 1:] == both[:, :-1]] = -1
+            both = -np.sort(-both, axis=1)  # ids first, -1 last
+            full = both[:, degree] >= 0 if both.shape[1] > degree else np.zeros(len(p), bool)
+            graph[p[~full]] = both[~full][:, :degree]
+            if full.any():
+                graph[p[full]] = robust_prune(vectors, norms, p[full], both[full], degree, alpha)
+        done += WIDTH
 
 
 def search(vectors: np.ndarray, graph: np.ndarray, start: int, queries: np.ndarray, k: int, beam: int = SEARCH_BEAM) -> tuple[np.ndarray, np.ndarray]:
     norms = np.einsum("ij,ij->i", vectors, vectors)
     ids, dist = [], []
-    for lo in range(0, len(queries), BLOCK):
-        i, d = beam_search(vectors, norms, graph, start, queries[lo : lo + BLOCK], max(beam, k))
+    block = _block(len(vectors))
+    for lo in range(0, len(queries), block):
+        i, d = beam_search(vectors, norms, graph, start, queries[lo : lo + block], max(beam, k))
         ids.append(i[:, :k])
         dist.append(d[:, :k])
     return np.concatenate(ids), np.concatenate(dist)
@@ -190,26 +211,31 @@ def _matrix(col: pa.ChunkedArray, dim: int) -> np.ndarray:
     return np.asarray(flat, np.float32).reshape(-1, dim)
 
 
-def neighbours(table: DataFrame, k: int = K, shard: int = SHARD, slice_rows: int = SLICE) -> DataFrame:
-    """(vec_id, neighbor_id, rank, distance): the k nearest others of every vector, rank from 1."""
+def neighbours(table: DataFrame, k: int = K, shard: int = SHARD, slice_rows: int = SLICE, queries: str | None = None) -> DataFrame:
+    """(vec_id, neighbor_id, rank, distance): the k nearest others of every query, rank from 1; queries: an SQL condition on vec_id."""
     sound = table.filter("vec_id is not null and embedding is not null and size(embedding) > 0 and not exists(embedding, x -> x is null or isnan(x) or abs(x) = double('inf'))")
     rows = sound.groupBy(F.col("vec_id").cast("long").alias("vec_id")).agg(F.min(F.col("embedding").cast("array<float>")).alias("embedding"))
     # -0.0 is 0.0, so equal vectors are equal bit by bit
     rows = rows.withColumn("embedding", F.transform("embedding", lambda x: x + F.lit(0).cast("float")))
-    rows = written(rows.withColumn("dim", F.size("embedding")).withColumn("key", F.xxhash64("embedding")), "vectors")
+    rows = written(rows.withColumn("key", F.xxhash64("embedding")).withColumn("asks", F.coalesce(F.expr(queries or "true"), F.lit(False))), "vectors")
     # k + 1 ids are enough of any node; WindowGroupLimit keeps no more of them a task
     lowest = F.row_number().over(W.partitionBy("key", "embedding").orderBy("vec_id"))
     same = rows.withColumn("_k", lowest).filter(F.col("_k") <= k + 1).groupBy("key", "embedding").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
     nodes = written(same.select("key", "embedding", "ids", F.col("ids")[0].alias("node"), F.size("embedding").alias("dim")), "nodes")
+    asked = rows.filter("asks").join(nodes.select("key", "embedding", "node", "ids"), ["key", "embedding"])
+    asked = written(asked.select("vec_id", "node", "ids", "embedding", F.size("embedding").alias("dim")), "queries")
+    # a node of more than k ids has its neighbours among them
+    seekers = asked.filter(F.size("ids") <= k).groupBy("node", "dim").agg(F.first("embedding").alias("embedding"))
     counts = {r[0]: r[1] for r in nodes.groupBy("dim").count().collect()}
     if not counts:
         return table.sparkSession.createDataFrame([], "vec_id long, neighbor_id long, rank int, distance double")
 
-    def by_dim(per: int) -> F.Column:
-        pairs = [F.lit(x) for d, n in counts.items() for x in (d, max(1, -(-n // per)))]
-        return F.create_map(*pairs)[F.col("dim")].cast("long")
+    shards = {d: -(-n // max(1, min(shard, SHARD_BYTES // (4 * d)))) for d, n in counts.items()}
+    slices = {d: max(1, -(-n // slice_rows)) for d, n in seekers.groupBy("dim").count().collect()}
+
+    def by_dim(of: dict[int, int]) -> F.Column:
+        return F.coalesce(F.create_map(*[F.lit(x) for d in counts for x in (d, of.get(d, 1))])[F.col("dim")].cast("long"), F.lit(1).cast("long"))
 
-    placed = nodes.withColumn("shards", by_dim(shard)).withColumn("slices", by_dim(slice_rows)).withColumn("h", F.xxhash64("node"))
     schema = "dim int, shard long, ids binary, vectors binary, graph binary, start long"
 
     def grow(key: tuple, t: pa.Table) -> pa.Table:
@@ -221,15 +247,11 @@ def neighbours(table: DataFrame, k: int = K, shard: int = SHARD, slice_rows: int
         blobs = [np.asarray(t.column("node").combine_chunks()).astype("<i8"), vectors.astype("<f4"), graph.astype("<i4")]
         return pa.table({"dim": pa.array([dim], pa.int32()), "shard": pa.array([key[1].as_py()], pa.int64()), **{n: pa.array([x.tobytes()], pa.binary()) for n, x in zip(("ids", "vectors", "graph"), blobs)}, "start": pa.array([start], pa.int64())})
 
-    sharded = placed.select("node", "embedding", "dim", F.expr("pmod(h, shards)").alias("shard"))
+    sharded = nodes.select("node", "embedding", "dim", F.pmod(F.xxhash64("node"), by_dim(shards)).alias("shard"))
     # one partition a shard, which the size of the rows would otherwise merge
-    total = sum(max(1, -(-n // shard)) for n in counts.values())
-    graphs = written(sharded.repartition(total, "dim", "shard").groupBy("dim", "shard").applyInArrow(grow, schema), "graphs")
-    slices = {d: max(1, -(-n // slice_rows)) for d, n in counts.items()}
-    sides = F.create_map(*[F.lit(x) for d, n in slices.items() for x in (d, n)])[F.col("dim")].cast("long")
-    left = graphs.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), sides - 1)))
-    # a node of more than k ids has its neighbours among them
-    right = placed.filter(F.size("ids") <= k).select("node", "embedding", "dim", F.expr("pmod(shiftright(h, 20), slices)").alias("part"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1)).alias("shard"))
+    graphs = written(sharded.repartition(sum(shards.values()), "dim", "shard").groupBy("dim", "shard").applyInArrow(grow, schema), "graphs")
+    left = graphs.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), by_dim(slices) - 1)))
+    right = seekers.select("node", "embedding", "dim", F.pmod(F.xxhash64("node", F.lit(1)), by_dim(slices)).alias("part"), F.explode(F.sequence(F.lit(0).cast("long"), by_dim(shards) - 1)).alias("shard"))
 
     def look(key: tuple, g: pa.Table, q: pa.Table) -> pa.Table:
         empty = {"node": pa.array([], pa.int64()), "hit": pa.array([], pa.int64()), "distance": pa.array([], pa.float64())}
@@ -239,28 +261,24 @@ def neighbours(table: DataFrame, k: int = K, shard: int = SHARD, slice_rows: int
         ids = np.frombuffer(g.column("ids")[0].as_py(), "<i8")
         vectors = np.frombuffer(g.column("vectors")[0].as_py(), "<f4").reshape(-1, dim)
         graph = np.frombuffer(g.column("graph")[0].as_py(), "<i4").reshape(len(ids), -1)
-        queries, own = _matrix(q.column("embedding"), dim), np.asarray(q.column("node").combine_chunks())
-        found, _ = search(vectors, graph, g.column("start")[0].as_py(), queries, k + 1)
+        asking, own = _matrix(q.column("embedding"), dim), np.asarray(q.column("node").combine_chunks())
+        found, _ = search(vectors, graph, g.column("start")[0].as_py(), asking, k + 1)
         row, col = np.nonzero(found >= 0)
         hit = found[row, col]
         row, hit = row[ids[hit] != own[row]], hit[ids[hit] != own[row]]
-        apart = vectors[hit].astype(np.float64) - queries[row].astype(np.float64)
+        apart = vectors[hit].astype(np.float64) - asking[row].astype(np.float64)
         return pa.table({"node": pa.array(own[row]), "hit": pa.array(ids[hit]), "distance": pa.array(np.einsum("ij,ij->i", apart, apart))})
 
     keys = ["dim", "shard", "part"]
     hits = right.groupBy(*keys).cogroup(left.groupBy(*keys)).applyInArrow(lambda key, q, g: look(key, g, q), "node long, hit long, distance double")
     nearest = F.row_number().over(W.partitionBy("node").orderBy("distance", "hit"))
     near = hits.withColumn("_k", nearest).filter(F.col("_k") <= k)
-    lists = nodes.filter(F.size("ids") > 1)
-    for end in ("node", "hit"):
-        near = near.join(lists.select(F.col("node").alias(end), F.col("ids").alias(f"{end}_ids")), end, "left")
-    near = near.withColumn("vec_id", F.explode(F.coalesce("node_ids", F.array("node")))).select("vec_id", F.explode(F.coalesce("hit_ids", F.array("hit"))).alias("neighbor_id"), "distance")
-    crowds = rows.join(lists.filter(F.size("ids") > k).select("key", "embedding", "ids"), ["key", "embedding"]).select("vec_id", "ids")
-    copies = lists.filter(F.size("ids") <= k).select(F.explode("ids").alias("vec_id"), "ids").unionByName(crowds)
-    copies = copies.select("vec_id", F.explode("ids").alias("neighbor_id"), F.lit(0.0).alias("distance")).filter("vec_id <> neighbor_id")
+    near = near.join(nodes.filter(F.size("ids") > 1).select(F.col("node").alias("hit"), "ids"), "hit", "left")
+    near = asked.select("vec_id", "node").join(near, "node").select("vec_id", F.explode(F.coalesce("ids", F.array("hit"))).alias("neighbor_id"), "distance")
+    copies = asked.select("vec_id", F.explode("ids").alias("neighbor_id"), F.lit(0.0).alias("distance")).filter("vec_id <> neighbor_id")
     rank = F.row_number().over(W.partitionBy("vec_id").orderBy("distance", "neighbor_id"))
     return near.unionByName(copies).withColumn("rank", rank).filter(F.col("rank") <= k).select("vec_id", "neighbor_id", "rank", "distance")
 
 
 def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neighbours(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return neighbours(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), queries=f"vec_id % {QUERY_STEP} = 0")
