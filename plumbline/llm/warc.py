@@ -4,16 +4,21 @@ A monolithic .warc.gz is one gzip stream, so no record can be reached without
 inflating all before it. The normaliser inflates the stream once, in pieces,
 writes every record as a gzip member of its own and, beside the file, an index
 of offsets (one JSON object a line). One task handles one file, in memory that
-doesn't grow with file or record. Output goes to a name of its own and is moved
-into place, so a lost or repeated task leaves a whole file or none.
+grows with neither file nor record: a member that outgrows HELD is kept in a
+side file next to the target until its record is known to be complete, and
+index lines are written as they come. Output goes to a name of its own and is
+moved into place, so a lost or repeated task leaves a whole file or none.
 
 Files are opened through pyarrow's file systems: local and mounted folders,
 HDFS, S3, GCS.
 
 Defined cases: several members in the input are read through. A file that ends
-inside a record, or whose data are damaged, keeps its complete records, and the
-index gets a last row whose error says why (offset and length null). An empty
-file gives an empty file and no rows. ``write_monolithic`` writes null html as an
+inside a record, or whose data are damaged, keeps its complete records and no
+byte of another, and the index gets a last row whose error says why (offset and
+length null); a header of more than HEADER bytes counts as damage. An empty
+file gives an empty file and no rows. Targets keep the folders of the inputs
+below the folder that all inputs share, so files of one name don't meet; an
+input named twice is normalised once. ``write_monolithic`` writes null html as an
 empty payload and leaves out the address of a null url; repeated pages are
 records of their own. Line breaks in a url are escaped. An empty table gives no
 rows. Further columns play no part.
@@ -26,6 +31,7 @@ import json
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyarrow import fs
@@ -35,6 +41,10 @@ from pyspark.sql import DataFrame, SparkSession
 from .storage import scratch
 
 PIECE = 1 << 20
+#: Bytes of a member that are held in memory, and the most that a header may have.
+HELD, HEADER = 16 << 20, 16 << 20
+#: Rows of an index that travel together.
+ROWS = 10_000
 _END = b"\r\n\r\n"
 
 
@@ -79,7 +89,7 @@ class _Inflated:
         seen = 0
         while (at := self.buffer.find(mark, max(0, seen - len(mark)))) < 0:
             seen = len(self.buffer)
-            if not self._more():
+            if seen > HEADER or not self._more():
                 return None
         return self.take(at + len(mark))
 
@@ -114,7 +124,7 @@ def records(raw) -> Iterator[tuple[str, dict[str, str], bytes, Iterator[bytes]]
     while data.skip_blank():
         head = data.until(_END)
         if head is None:
-            yield "error", data.error or "a record's header is cut off"
+            yield "error", data.error or ("a record's header is cut off" if data.ended else "a record's header has no end")
             return
         lines = head.decode("utf-8", "replace").split("\r\n")
         if not lines[0].startswith("WARC/"):
@@ -145,44 +155,82 @@ def records(raw) -> Iterator[tuple[str, dict[str, str], bytes, Iterator[bytes]]
         yield "error", data.error
 
 
-def normalise_file(source: str, target: str) -> list[dict]:
-    """Rewrite one file with a member a record, write its index beside it and return the index."""
+class _Member:
+    """The gzip member of one record, in memory or, from HELD bytes on, in a side file."""
+
+    def __init__(self, files: fs.FileSystem, side: str) -> None:
+        self.files, self.side, self.out = files, side, None
+        self.squeeze = zlib.compressobj(6, zlib.DEFLATED, 31)
+        self.held, self.waiting, self.size = [], 0, 0
+
+    def add(self, data: bytes) -> None:
+        self._keep(self.squeeze.compress(data))
+
+    def _keep(self, data: bytes) -> None:
+        self.held.append(data)
+        self.waiting += len(data)
+        self.size += len(data)
+        if self.waiting > HELD:
+            self.out = self.out or self.files.open_output_stream(self.side, compression=None)
+            for x in self.held:
+                self.out.write(x)
+            self.held, self.waiting = [], 0
+
+    def write(self, to) -> None:  # noqa: ANN001
+        """End the member and append it to a stream."""
+        self._keep(self.squeeze.flush())
+        if self.out:
+            self.out.close()
+            with self.files.open_input_stream(self.side, compression=None) as side:
+                while piece := side.read(PIECE):
+                    to.write(piece)
+        for x in self.held:
+            to.write(x)
+
+    def drop(self) -> None:
+        if self.out:
+            self.out.close()
+            self.files.delete_file(self.side)
+
+
+def normalise_file(source: str, target: str) -> Iterator[dict]:
+    """Rewrite one file with a member a record, write its index beside it and return the index's rows."""
     ins, path = _open(source)
     outs, final = _open(target)
     temporary = f"{final}.{uuid.uuid4().hex}.tmp"
-    index: list[dict] = []
-    with ins.open_input_stream(path, compression=None) as raw, outs.open_output_stream(temporary, compression=None) as out:
+    with ins.open_input_stream(path, compression=None) as raw, outs.open_output_stream(temporary, compression=None) as out, outs.open_output_stream(f"{temporary}.idx", compression=None) as index:
         at = 0
         for kind, *rest in records(raw):
             if kind == "error":
-                index.append({"error": rest[0]})
+                index.write(json.dumps({"error": rest[0]}).encode() + b"\n")
                 break
             fields, head, pieces = rest
-            squeeze = zlib.compressobj(6, zlib.DEFLATED, 31)
-            digest, size, held = hashlib.md5(), 0, [squeeze.compress(head)]
-            start = at
+            member, digest, size = _Member(outs, f"{temporary}.rec"), hashlib.md5(), 0
+            member.add(head)
             for piece in pieces:
                 digest.update(piece)
                 size += len(piece)
-                held.append(squeeze.compress(piece))
-                if size > 16 * PIECE:  # long records go out in pieces
-                    at += sum(out.write(x) or len(x) for x in [b"".join(held)])
-                    held = []
-            if size != int(fields["content-length"]):
-                if at > start:
-                    index.append({"error": "a record's payload is cut off"})
-                    break
-                continue
-            held += [squeeze.compress(_END), squeeze.flush()]
-            member = b"".join(held)
-            out.write(member)
-            at += len(member)
-            index.append({"offset": start, "length": at - start, "type": fields.get("warc-type"), "record_id": fields.get("warc-record-id"), "url": fields.get("warc-target-uri"), "payload_bytes": size, "payload_md5": digest.hexdigest()})
-    with outs.open_output_stream(f"{temporary}.idx", compression=None) as out:
-        out.write("".join(json.dumps(x) + "\n" for x in index).encode())
+                member.add(piece)
+            if size == int(fields["content-length"]):  # else the next item is the error
+                member.add(_END)
+                member.write(out)
+                row = {"offset": at, "length": member.size, "type": fields.get("warc-type"), "record_id": fields.get("warc-record-id"), "url": fields.get("warc-target-uri"), "payload_bytes": size, "payload_md5": digest.hexdigest()}
+                index.write(json.dumps(row).encode() + b"\n")
+                at += member.size
+            member.drop()
     outs.move(f"{temporary}.idx", f"{final}.idx")
     outs.move(temporary, final)
-    return index
+    return read_index(target)
+
+
+def read_index(target: str) -> Iterator[dict]:
+    """The rows of a normalised file's index."""
+    files, inner = _open(target)
+    with files.open_input_stream(f"{inner}.idx", compression=None) as f:
+        rest = b""
+        while piece := f.read(PIECE):
+            *lines, rest = (rest + piece).split(b"\n")
+            yield from map(json.loads, lines)
 
 
 def read_record(path: str, offset: int, length: int) -> tuple[dict[str, str], bytes]:
@@ -223,25 +271,38 @@ def write_monolithic(pages: DataFrame, folder: str) -> DataFrame:
     return pages.select(pages["page_id"].cast("long").alias("page_id"), pages["url"].alias("url"), pages["html"].alias("html")).mapInArrow(run, "path string")
 
 
+def targets(paths: list[str], folder: str) -> dict[str, str]:
+    """The target of each distinct input: its path below the folder that all inputs share, in folder."""
+    parts = {p: p.replace("://", "/").strip("/").split("/") for p in paths}
+    shared = 0
+    while all(len(x) > shared + 1 and x[shared] == next(iter(parts.values()))[shared] for x in parts.values()):
+        shared += 1
+    found = {p: "/".join([folder, *x[shared:]]) for p, x in parts.items()}
+    if len(set(found.values())) < len(found) or any(".." in x for x in parts.values()):
+        raise ValueError("inputs whose targets can't be told apart")
+    return found
+
+
 def normalise(spark: SparkSession, paths: list[str], folder: str) -> DataFrame:
     """Normalise each file into folder; the rows of all indexes, file naming the new file."""
     schema = "file string, record_offset long, record_length long, type string, record_id string, url string, payload_bytes long, payload_md5 string, error string"
     names = ["offset", "length", "type", "record_id", "url", "payload_bytes", "payload_md5", "error"]
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string()]
     if not paths:
         return spark.createDataFrame([], schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        files, inner = _open(folder)
-        files.create_dir(inner, recursive=True)
         for b in batches:
-            for source in b.column(0).to_pylist():
-                target = f"{folder}/{source.rsplit('/', 1)[-1]}"
-                index = normalise_file(source, target)
-                kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string()]
-                yield pa.RecordBatch.from_arrays([pa.array([target] * len(index), pa.string()), *(pa.array([x.get(n) for x in index], k) for n, k in zip(names, kinds))], [x.split()[0] for x in schema.split(", ")])
+            for source, target in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                files, inner = _open(target)
+                files.create_dir(inner.rpartition("/")[0], recursive=True)
+                rows = normalise_file(source, target)
+                while part := list(islice(rows, ROWS)):
+                    yield pa.RecordBatch.from_arrays([pa.array([target] * len(part), pa.string()), *(pa.array([x.get(n) for x in part], k) for n, k in zip(names, kinds))], [x.split()[0] for x in schema.split(", ")])
 
     # a task a file
-    rows = spark.createDataFrame(spark.sparkContext.parallelize([(p,) for p in paths], len(paths)), "path string")
+    pairs = sorted(targets(paths, folder).items())
+    rows = spark.createDataFrame(spark.sparkContext.parallelize(pairs, len(pairs)), "path string, target string")
     return rows.mapInArrow(run, schema)
 
 
