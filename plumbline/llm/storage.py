@@ -3,22 +3,25 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A side with more rows than this is joined by shuffling both sides instead.
-BROADCAST_ROWS = 1_000_000
+#: A side with more rows or bytes than this is joined by shuffling both sides instead.
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 64 << 20
 
 _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; a folder of our own only where it is unset (tests)."""
+    """The folder that spark.checkpoint.dir names; a folder of our own only where it is unset and all runs in one process (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         named = tempfile.mkdtemp(prefix="plumbline-")
         spark.conf.set("spark.checkpoint.dir", named)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -71,9 +74,23 @@ def free(name: str, columns: list[str]) -> str:
     return name
 
 
-def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has at most limit rows, else df as it is.
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """df with a broadcast hint if it has at most rows rows and size bytes (as JSON), else df as it is.
 
-    df should be stored already, as its rows are counted.
+    df should be stored already, as it is read for that.
     """
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+    n, held = df.agg(F.count("*"), F.sum(F.length(F.to_json(F.struct(*[df[c] for c in df.columns]))))).first()
+    return F.broadcast(df) if n <= rows and (held or 0) <= size else df
+
+
+def stable(df: DataFrame) -> DataFrame:
+    """df such that its rows have the same numbers (monotonically_increasing_id) whenever it is computed.
+
+    That holds for filters and projections of files; all else is written first.
+    """
+
+    def narrow(plan) -> bool:  # noqa: ANN001
+        below = [plan.children().apply(k) for k in range(plan.children().size())]
+        return plan.nodeName() in ("Project", "Filter") and all(map(narrow, below)) if below else plan.nodeName() == "LogicalRelation"
+
+    return df if narrow(df._jdf.queryExecution().optimizedPlan()) else written(df, "rows")

@@ -1,9 +1,12 @@
 """Operators that SQL can express, on whole small tables and on hard cases."""
 
+import re
+
 import duckdb
 import numpy as np
 import pytest
-from plumbline.llm import packing, quality, sharding, suffix, urls
+from plumbline.llm import packing, quality, sharding, storage, suffix, urls
+from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -60,8 +63,10 @@ def test_url_filter_refuses_what_is_surely_bad(spark):
     assert kept.columns == ["page_id", "url", "html", "host", "n"]
     ids = {r.page_id for r in kept.collect()}
     assert not ids & set(range(40)) and set(range(40, 390)) <= ids and {1000, 1001} <= ids and 1002 not in ids
-    scores = {r.page_id for r in urls.url_scores(pages(spark, rows), labels).collect()}
-    assert scores == ids
+    scores = urls.url_scores(pages(spark, rows), labels).collect()
+    assert len(scores) == len(rows) and {r.page_id for r in scores if r.kept} == ids
+    columns = ["page_id", "host", "n", "bad", "good_mean", "good_upper", "kept"]
+    assert tuples(urls.url_scores(pages(spark, rows), labels), *columns) == in_sql(urls.SQL, columns, {"pages": pages(spark, rows), "labels": labels})
     none = labels.limit(0)
     assert urls.url_filter(pages(spark, rows), none).count() == len(rows)
     assert urls.url_scores(pages(spark, []), labels).count() == 0
@@ -73,17 +78,34 @@ def test_url_filter_matches_a_direct_computation(spark):
     rows = [(k, f"https://{hosts[k % 21]}/en/{k}", "", "", 0) for k in range(400)]
     labels = [(k, int(rng.random() > (k % 21) / 30), 0) for k in range(400) if rng.random() < 0.6]
     p, lab = pages(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
-    columns = ["page_id", "host", "n", "bad", "good_mean", "good_upper"]
+    columns = ["page_id", "host", "n", "bad", "good_mean", "good_upper", "kept"]
     assert tuples(urls.url_scores(p, lab), *columns) == in_sql(urls.SQL, columns, {"pages": p, "labels": lab})
 
 
-@pytest.mark.parametrize(("host", "domain", "suffix"), [("a.b.co.uk", "b.co.uk", "co.uk"), ("x.com", "x.com", "com"), ("localhost", "localhost", ""), ("10.0.0.1", "10.0.0.1", ""), ("", "", "")])
+@pytest.mark.parametrize(("host", "domain", "suffix"), [("a.b.co.uk", "b.co.uk", "co.uk"), ("x.com", "x.com", "com"), ("a.b.or.jp", "b.or.jp", "or.jp"), ("a.b.gob.mx", "b.gob.mx", "gob.mx"), ("me.github.io", "me.github.io", "github.io"), ("[::1]", "[::1]", ""), ("localhost", "localhost", ""), ("10.0.0.1", "10.0.0.1", ""), ("", "", "")])
 def test_domains(spark, host, domain, suffix):
     df = spark.createDataFrame([(host,)], "h string")
     r = df.select(urls.domain_of(df["h"]).alias("d"), urls.suffix_of(df["h"]).alias("s")).first()
     assert (r.d, r.s) == (domain, suffix)
 
 
+def test_hosts_that_differ_by_chance_are_all_kept(spark):
+    rows = [(k, f"http://h{k % 4}.x{k % 2}.org/{k}", "", "", 0) for k in range(400)]
+    labels = spark.createDataFrame([(k, int(k % 20 >= 4), 0) for k in range(400)], "doc_id long, quality int, toxic int")
+    got = urls.url_scores(pages(spark, rows), labels).collect()
+    assert len(got) == 400 and all(r.kept for r in got) and len({r.good_upper for r in got}) == 1
+
+
+def test_suffix_table(spark):
+    table = spark.createDataFrame([("com",), ("uk",), ("co.uk",), ("*.ck",), ("!www.ck",), ("github.io",), ("io",), (None,), ("Com",)], "suffix string")
+    want = {"a.b.com": ("b.com", "com"), "a.b.co.uk": ("b.co.uk", "co.uk"), "x.y.z.ck": ("y.z.ck", "z.ck"), "a.www.ck": ("www.ck", "ck"), "me.github.io": ("me.github.io", "github.io"), "a.b.zz": ("b.zz", "zz"), "localhost": ("localhost", ""), "1.2.3.4": ("1.2.3.4", ""), "[::1]": ("[::1]", ""), "": ("", ""), "co.uk": ("co.uk", "")}
+    got = urls.placed_by(spark.createDataFrame([(h, 1) for h in want], "host string, n int"), table).collect()
+    assert {r.host: (r.domain, r.suffix) for r in got} == want and got[0].n == 1
+    hosts = [urls.host_of(F.lit(u)) for u in ("http://[2001:db8::1]:80/x", "http://u:p@A.b.C.:8/x?y", "no")]
+    assert list(spark.range(1).select(*hosts).first()) == ["[2001:db8::1]", "a.b.c", ""]
+    assert urls.url_scores(pages(spark, [(1, "http://a.b.com/1", "", "", 0)]), spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int"), table).first().kept
+
+
 # suffix array
 
 
@@ -216,7 +238,7 @@ def test_pack(spark, cell):
 def test_packing_query_covers_every_token(spark):
     got = packing.op5_packing(spark, SF).collect()
     table = spark.read.parquet(f"{SF}/documents.parquet")
-    total = table.select(packing.token_count(table["text"]).alias("n")).agg({"n": "sum"}).first()[0]
+    total = sum(len(re.findall("[^ \\t\\n\\f\\r]+", r.text)) for r in table.select("text").collect())
     assert sum(r.n_tokens for r in got) == total
     check_packed([(r.bin, r.slot_offset, r.doc_id, r.piece, r.start_token, r.n_tokens) for r in got], [r.n_tokens for r in got], packing.CONTEXT)
 
@@ -244,11 +266,33 @@ def test_sharding(spark, shards, cell):
     assert sharding.assign(docs(spark, []), shards).count() == 0
 
 
-def test_write_shards(spark, tmp_path):
-    df = docs(spark, [(k, f"t{k}", "en", "a", k) for k in range(20)])
-    sharding.write_shards(df, str(tmp_path / "out"), shards=4)
-    back = spark.read.parquet(str(tmp_path / "out"))
-    assert back.count() == 20 and back.select("_shard").distinct().count() == 4
+def test_write_shards_keeps_every_row(spark, tmp_path):
+    rows = [(k, f"t{k}", "en", "a", k) for k in range(20)] + [(7, "other", "en", "a", 1)] * 3 + [(None, "x", "en", None, 2), (None, "y", "en", None, 3)]
+    for k, df in enumerate((docs(spark, rows).withColumn("_shard", F.lit(5)), docs(spark, rows).withColumn("_shard", F.lit(5)).orderBy("text"))):
+        names = sharding.write_shards(df, str(tmp_path / f"out{k}"), shards=4, cell=3)
+        back = spark.read.parquet(str(tmp_path / f"out{k}"))
+        assert tuples(back, *df.columns) == sorted([(*r, 5) for r in rows], key=repr)
+        want = tuples(sharding.assign(df, 4, cell=100), "doc_id", "source", "shard", "position")
+        assert tuples(back, "doc_id", "source", *[f"`{n}`" for n in names]) == want
+    sharding.write_shards(docs(spark, []), str(tmp_path / "none"))
+
+
+def test_one_id_with_many_rows_is_split_into_cells(spark):
+    keyed = spark.range(3000).select(F.when(F.col("id") % 3 > 0, F.col("id")).alias("doc_id"), F.lit("s").alias("source"), F.col("id").alias("row"))
+    keyed = keyed.withColumn("key", F.concat(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.md5(F.col("row").cast("string"))))
+    cells = sharding._celled(keyed, 20)
+    sizes = [r["count"] for r in cells.groupBy("source", "cell").count().collect()]
+    assert sum(sizes) == 3000 and max(sizes) <= 80
+    ordered = [r.cell for r in cells.orderBy("key").collect()]
+    assert ordered == sorted(ordered)
+
+
+def test_broadcasts_are_checked_by_rows_and_bytes(spark):
+    def hinted(df):
+        return "Hint" in df._jdf.queryExecution().logical().toString()
+
+    few, wide = spark.range(10), spark.range(10).select(F.repeat(F.lit("x"), 1000).alias("x"))
+    assert hinted(storage.small(few)) and not hinted(storage.small(few, rows=9)) and not hinted(storage.small(wide, size=5000)) and hinted(storage.small(wide, size=50_000))
 
 
 # quality rules
