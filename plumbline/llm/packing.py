@@ -93,12 +93,14 @@ class _Rooms:
 
 
 def token_count(text: Column) -> Column:
-    return F.regexp_count(text, F.lit("[^ \\t\\n\\f\\r]+"))
+    """Tokens of a text: each of them, and the white space behind it, becomes one sign."""
+    blank = " \t\n\f\r"
+    signs = F.regexp_replace(F.ltrim(text, F.lit(blank)), "[^ \\t\\n\\f\\r]++[ \\t\\n\\f\\r]*+", "x")
+    return F.length(signs)
 
 
-def pieces(docs: DataFrame, context: int) -> DataFrame:
-    """(doc_id, piece, start_token, n_tokens): what is packed."""
-    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), token_count(docs["text"]).cast("long").alias("n")).filter("n > 0")
+def pieces(sized: DataFrame, context: int) -> DataFrame:
+    """(doc_id, piece, start_token, n_tokens) of rows of (doc_id, n)."""
     cut = sized.select("doc_id", "n", F.posexplode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(context).cast("long"))).alias("piece", "start_token"))
     return cut.select("doc_id", "piece", "start_token", F.least(F.lit(context).cast("long"), F.col("n") - F.col("start_token")).alias("n_tokens"))
 
@@ -106,7 +108,9 @@ def pieces(docs: DataFrame, context: int) -> DataFrame:
 def pack(docs: DataFrame, context: int = CONTEXT, cell: int = CELL) -> DataFrame:
     """(bin, slot_offset, doc_id, piece, start_token, n_tokens): every piece in its slot."""
     spark = docs.sparkSession
-    cut = written(pieces(docs, context), "pieces")
+    # lengths are written before any filter, which would count all tokens again
+    sized = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), token_count(docs["text"]).cast("long").alias("n")), "lengths")
+    cut = pieces(sized.filter("n > 0"), context)
     counts: Counter[int] = Counter({r[0]: r[1] for r in cut.groupBy("n_tokens").count().collect()})  # context rows at most
     slots = spark.createDataFrame(plan(counts, context), "p_length long, rank_lo long, rank_hi long, bin long, per_bin long, p_offset long")
     cells = max(1, -(-max(counts.values(), default=1) // cell))
