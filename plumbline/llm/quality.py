@@ -3,10 +3,12 @@
 Each signal of a document is a smoothed rate, kept as an integer. A group
 (language, source) is summarised by a quantile sketch of each signal: counts of
 logarithmic-linear buckets, seven leading bits exact, so a quantile is off by
-less than 1/64. Sketches merge by adding counts, which is how sources with few
-documents borrow the sketch of their language, and languages with few that of
-the corpus. The cutoff is an outer fence, Q3 + FENCE * max(IQR, the signal's
-least spread), so a group without outliers loses nothing. Documents are then
+less than 1/64. Sketches merge by adding counts, so those of a language and of
+the corpus come from the same counts. A group's quartiles are shrunk towards its
+language's, and those towards the corpus's, as if PRIOR documents of the parent
+were added: n documents weigh n / (n + PRIOR). The cutoff is an outer fence,
+Q3 + FENCE * max(IQR, the signal's least spread), so a group without outliers
+loses nothing. Documents are then
 joined with the cutoffs of their group and filtered.
 
 Defined cases: null, empty or blank text is rejected. A null language or source
@@ -27,8 +29,8 @@ from .storage import checkpointed, small, written
 #: Least spread of each signal, in its own unit.
 SPREADS = {"symbol_pm": 10, "upper_pm": 60, "repeat_pm": 50, "dupline_pm": 60, "word_decis": 20}
 FENCE = 3
-#: Documents that a group needs for cutoffs of its own.
-MIN_GROUP = 100
+#: Documents that the parent of a group counts for.
+PRIOR = 100.0
 
 
 def signals(t: Column) -> Column:
@@ -74,19 +76,26 @@ def cutoffs(sketch: DataFrame) -> DataFrame:
         F.min(F.when(4 * F.col("cum") >= F.col("total"), F.col("bucket"))).alias("q1"),
         F.min(F.when(4 * F.col("cum") >= 3 * F.col("total"), F.col("bucket"))).alias("q3"),
     )
-    fences = fences.select("level", "klang", "ksource", "signal", "total", (F.col("q3") + FENCE * F.greatest(F.col("q3") - F.col("q1"), spread[F.col("signal")])).alias("cutoff"))
     groups = sketch.select("lang", "source", "signal").distinct()
     out = groups
     for k in (0, 1, 2):
-        f = fences.filter(F.col("level") == k).select(F.col("klang").alias(f"l{k}"), F.col("ksource").alias(f"s{k}"), F.col("signal").alias(f"g{k}"), F.col("total").alias(f"n{k}"), F.col("cutoff").alias(f"c{k}"))
+        f = fences.filter(F.col("level") == k).select(F.col("klang").alias(f"l{k}"), F.col("ksource").alias(f"s{k}"), F.col("signal").alias(f"g{k}"), F.col("total").alias(f"n{k}"), F.col("q1").alias(f"a{k}"), F.col("q3").alias(f"b{k}"))
         on = F.col("signal") == F.col(f"g{k}")
         if k < 2:
             on &= F.col("lang").eqNullSafe(F.col(f"l{k}"))
         if k < 1:
             on &= F.col("source").eqNullSafe(F.col(f"s{k}"))
         out = out.join(f, on, "left")
-    chosen = F.when(F.col("n0") >= MIN_GROUP, F.col("c0")).when(F.col("n1") >= MIN_GROUP, F.col("c1")).otherwise(F.col("c2"))
-    return out.groupBy("lang", "source").agg(*[F.max(F.when(F.col("signal") == s, chosen)).alias(f"{s}_max") for s in SPREADS])
+
+    def shrunk(q: str) -> Column:
+        parent = F.col(f"{q}2").cast("double")
+        for k in (1, 0):
+            parent = (F.col(f"n{k}") * F.col(f"{q}{k}") + PRIOR * parent) / (F.col(f"n{k}") + PRIOR)
+        return parent
+
+    limit = F.col("q3") + FENCE * F.greatest(F.col("q3") - F.col("q1"), spread[F.col("signal")].cast("double"))
+    out = out.select("lang", "source", "signal", shrunk("a").alias("q1"), shrunk("b").alias("q3")).withColumn("cutoff", limit)
+    return out.groupBy("lang", "source").agg(*[F.max(F.when(F.col("signal") == s, F.col("cutoff"))).alias(f"{s}_max") for s in SPREADS])
 
 
 def _within(measured: DataFrame, limits: DataFrame) -> DataFrame:
@@ -113,10 +122,11 @@ def quality_scores(docs: DataFrame) -> DataFrame:
 
 def quality_filter(docs: DataFrame) -> DataFrame:
     """The documents that pass, with all their columns."""
-    # written, so that the optimiser can't repeat the measuring in the filters that it infers for explode
-    limits = checkpointed(cutoffs(checkpointed(sketches(written(measure(docs), "signals")))))
+    # rows are written with their signals: measuring costs more than writing and reading them
     row = F.struct(*[docs[c] for c in docs.columns]).alias("_row")
-    return _within(measure(docs, row), small(limits)).select("_row.*")
+    measured = written(measure(docs, row), "signals")
+    limits = checkpointed(cutoffs(checkpointed(sketches(measured))))
+    return _within(measured, small(limits)).select("_row.*")
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -145,16 +155,18 @@ ranked AS (
 quartiles AS (
   SELECT level, klang, ksource, signal, max(total) AS total, min(bucket) FILTER (4 * cum >= total) AS q1, min(bucket) FILTER (4 * cum >= 3 * total) AS q3
   FROM ranked GROUP BY ALL),
-fences AS (
-  SELECT *, q3 + 3 * greatest(q3 - q1, CASE signal WHEN 'symbol_pm' THEN 10 WHEN 'upper_pm' THEN 60 WHEN 'repeat_pm' THEN 50 WHEN 'dupline_pm' THEN 60 ELSE 20 END) AS cutoff
-  FROM quartiles),
-chosen AS (
-  SELECT g.lang, g.source, g.signal, CASE WHEN a.total >= 100 THEN a.cutoff WHEN b.total >= 100 THEN b.cutoff ELSE c.cutoff END AS cutoff
+quarters AS (
+  SELECT g.lang, g.source, g.signal,
+    (a.total * a.q1 + {PRIOR} * ((b.total * b.q1 + {PRIOR} * c.q1::DOUBLE) / (b.total + {PRIOR}))) / (a.total + {PRIOR}) AS q1,
+    (a.total * a.q3 + {PRIOR} * ((b.total * b.q3 + {PRIOR} * c.q3::DOUBLE) / (b.total + {PRIOR}))) / (a.total + {PRIOR}) AS q3
   FROM (SELECT DISTINCT lang, source, signal FROM sketch) g
-  LEFT JOIN fences a ON a.level = 0 AND a.klang IS NOT DISTINCT FROM g.lang AND a.ksource IS NOT DISTINCT FROM g.source AND a.signal = g.signal
-  LEFT JOIN fences b ON b.level = 1 AND b.klang IS NOT DISTINCT FROM g.lang AND b.signal = g.signal
-  LEFT JOIN fences c ON c.level = 2 AND c.signal = g.signal)
-"""
+  LEFT JOIN quartiles a ON a.level = 0 AND a.klang IS NOT DISTINCT FROM g.lang AND a.ksource IS NOT DISTINCT FROM g.source AND a.signal = g.signal
+  LEFT JOIN quartiles b ON b.level = 1 AND b.klang IS NOT DISTINCT FROM g.lang AND b.signal = g.signal
+  LEFT JOIN quartiles c ON c.level = 2 AND c.signal = g.signal),
+chosen AS (
+  SELECT lang, source, signal, q3 + {FENCE} * greatest(q3 - q1, CASE signal WHEN 'symbol_pm' THEN 10 WHEN 'upper_pm' THEN 60 WHEN 'repeat_pm' THEN 50 WHEN 'dupline_pm' THEN 60 ELSE 20 END::DOUBLE) AS cutoff
+  FROM quarters)
+""".replace("{PRIOR}", f"{PRIOR}::DOUBLE").replace("{FENCE}", str(FENCE))
 
 SQL = f"""
 WITH {MEASURED_SQL}
