@@ -170,7 +170,7 @@ class _Decoder:
         if value in allowed and isinstance(value, str):
             return value
         if value == OPENAPI:
-            return self.wrong(at, "API descriptions are evidence and claim nothing")
+            return self.wrong(at, "API descriptions are cited and claim nothing")
         return self.wrong(at, f"{value!r} is none of {', '.join(allowed)}")
 
     def files(self, value: Any, at: str) -> tuple[GlobSet | None, tuple[str, ...]]:

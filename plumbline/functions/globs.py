@@ -151,3 +151,14 @@ def members(paths: DataFrame, globs: DataFrame, path: Column) -> DataFrame:
     cols = paths.columns
     hit = paths.withColumn("_path", path).join(F.broadcast(globs.select("owner", "ord", "regex", "exclude")), F.expr("_path rlike regex"))
     return hit.groupBy("owner", *cols).agg(F.max_by(~F.col("exclude"), "ord").alias("_in")).filter("_in").drop("_in")
+
+
+def selected(path: Column, sets: list[GlobSet]) -> Column:
+    """Whether one of the sets selects the path: a filter without a join, for few patterns."""
+    chosen = F.lit(False)
+    for s in sets:
+        last = F.lit(False)
+        for g in s.globs:  # the last match decides
+            last = F.when(path.rlike(g.regex), F.lit(not g.exclude)).otherwise(last)
+        chosen = chosen | last
+    return chosen

@@ -5,18 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Any white space, the Unicode separators and NEL included.
-BLANK = "[\\s\\x{85}\\p{Z}]"
-#: Kinds in the order in which they are listed for people.
-KINDS = tuple("file h1 h2 h3 h4 operation type function property".split())
 MODULE_ENDINGS = tuple(f".{x}" for x in "ts tsx mts cts d.ts d.mts d.cts".split())
 
 
-def tag_of(line: Column) -> Column:
-    """Tag that starts a line, '' if none does."""
-    return F.regexp_extract(line, "^@(evidenceExclude|evidence)(?=[ \\t]|$)", 1)
-
-
 def tag_target(body: Column) -> Column:
     """First word of a tag's body."""
     return F.regexp_extract(body, "^\\s*(\\S+)", 1)
@@ -27,20 +18,11 @@ def tag_reason(body: Column) -> Column:
     return F.regexp_extract(body, "^\\s*\\S+\\s+([\\s\\S]*?)\\s*$", 1)
 
 
-def link_target(body: Column) -> Column:
-    """Target of an inline link that starts the body, '' if it is none."""
-    return F.regexp_extract(body, "^\\{@link(?:code|plain)?+\\s+([^\\s}]+)\\s*\\}", 1)
-
-
 def plain_path(target: Column) -> Column:
     """Slashes instead of backslashes, no leading './'."""
     return F.regexp_replace(F.replace(target, F.lit("\\"), F.lit("/")), "^(\\./)+", "")
 
 
-def has_blank(text: Column) -> Column:
-    return text.rlike(BLANK)
-
-
 def slug(heading: Column) -> Column:
     """Anchor of a heading: lower case, letters, numbers and '_', a '-' for each run of blanks and '-'."""
     kept = F.regexp_replace(F.lower(heading), "[^\\p{L}\\p{N}_\\-\\s\\x{85}\\p{Z}]", "")
@@ -57,10 +39,6 @@ def operation_target(method: Column, path: Column) -> Column:
     return F.concat(F.upper(method), F.lit(":"), path)
 
 
-def sound_method(method: Column) -> Column:
-    return method.rlike("^[0-9A-Za-z~|`_^.*+'&%$#!-]+$")
-
-
 def redacted(source: Column) -> Column:
     """An address without its user and without the values of its query."""
     hidden = F.regexp_replace(source, "^([A-Za-z][A-Za-z0-9+.-]*://)[^/?#@]*@", "$1***@")
@@ -84,17 +62,6 @@ def package_name(specifier: Column) -> Column:
     return F.regexp_extract(specifier, "^(@[^/]+/[^/]+|[^/]+)(?:/(.*))?$", 1)
 
 
-def package_rest(specifier: Column) -> Column:
-    return F.regexp_extract(specifier, "^(@[^/]+/[^/]+|[^/]+)(?:/(.*))?$", 2)
-
-
-def module_candidates(stem: Column) -> Column:
-    """Paths that a relative module name may stand for, the first that exists being it."""
-    bare = F.regexp_replace(stem, "\\.[mc]?jsx?$", "")
-    names = [stem, *[F.concat(bare, F.lit(e)) for e in MODULE_ENDINGS], *[F.concat(bare, F.lit(f"/index{e}")) for e in MODULE_ENDINGS]]
-    return F.array(*names)
-
-
 def base_name(path: Column) -> Column:
     """File name without its last extension."""
     return F.regexp_extract(path, "([^/]+?)(\\.[^./]*)?$", 1)
@@ -104,16 +71,6 @@ def location(path: Column, line: Column) -> Column:
     return F.when(line > 0, F.concat(path, F.lit(":"), line.cast("string"))).otherwise(path)
 
 
-def kinds_listed(kinds: Column) -> Column:
-    return F.array_join(F.array_intersect(F.array(*map(F.lit, KINDS)), kinds), ", ")
-
-
-def written_content(block: Column) -> Column:
-    """What a documentation block says, without its frame."""
-    inner = F.regexp_replace(F.regexp_replace(block, "^/\\*\\*", ""), "\\*/$", "")
-    return F.trim(F.regexp_replace(inner, "[\\s*]+", " "))
-
-
 def is_module(path: Column) -> Column:
     return F.lower(path).rlike("\\.(ts|tsx|mts|cts)$")
 

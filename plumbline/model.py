@@ -9,10 +9,13 @@ from __future__ import annotations
 MARKDOWN, OPENAPI, TYPESCRIPT = "markdown", "swagger", "typescript"
 KINDS = {MARKDOWN: tuple("file h1 h2 h3 h4".split()), TYPESCRIPT: ("type", "function", "property"), OPENAPI: ("operation",)}
 
+#: Names of the tags that acknowledge a unit: as done, and as left out on purpose.
+TAGS = ("cite", "citeExclude")
+
 FILES = "path string, content binary"
 UNIT = "id string, parent_id string, target string, identity array<string>, aliases array<string>, artifact string, symbol string, path string, line int, readable string"
 DECLARATION = "id string, artifact string, tag string, target string, is_link boolean, reason string, hosts array<string>, path string, line int, seq int"
-PROBLEM = "symbol string, message string"
+PROBLEM = "code string, symbol string, message string"
 IMPORT = "local string, specifier string, imported string, is_namespace boolean"
 EXPORT = "public string, local string, specifier string, imported string, is_namespace boolean, ord int"
 IDENTITY = "local string, addresses array<string>, line int, ord int"

@@ -8,42 +8,51 @@ from pyspark.sql import functions as F
 from plumbline.functions.lineage import cut
 
 
-def ancestor_closure(units: DataFrame, *keys: str, max_depth: int = 16) -> DataFrame:
+#: Span from which on a closure looks for the cycles that it may be walking.
+_LONG = 64
+
+
+def ancestor_closure(units: DataFrame, *keys: str) -> DataFrame:
     """(keys, id, scope_id, depth): every unit with itself and its ancestors within the same keys.
 
     Doubling: after k rounds ancestors up to 2**k levels are known, each found
-    once, so a hierarchy of depth d takes log2(d) joins and no row limit applies.
-    A parent that isn't among the units ends the walk, as does max_depth, so a
-    cycle terminates.
+    once, so a hierarchy of depth d takes log2(d) joins, whatever d is. A parent
+    that isn't among the units ends the walk. In a cycle every member has the
+    others as ancestors, by the fewest steps; it is noticed once a walk is LONG.
     """
     known = units.select(*keys, "id")
     steps = units.filter("parent_id is not null").select(*keys, "id", F.col("parent_id").alias("scope_id"))
     steps = steps.join(known.withColumnRenamed("id", "scope_id"), [*keys, "scope_id"], "left_semi")
-    reach, jump, span = steps.select(*keys, "id", "scope_id", F.lit(1).alias("depth")), steps, 1
-    while span < max_depth:
+    reach, jump, span, size = steps.select(*keys, "id", "scope_id", F.lit(1).alias("depth")), steps, 1, -1
+    while True:
         if span >= 2:
             jump, reach = cut(jump), cut(reach)
             if jump.isEmpty():
                 break
+        if span > _LONG:
+            before, size = size, reach.count()
+            if size == before:
+                break
         via = jump.select(*keys, F.col("scope_id").alias("_next"), F.col("id").alias("scope_id"))
         reach = reach.unionByName(reach.join(via, [*keys, "scope_id"]).select(*keys, "id", F.col("_next").alias("scope_id"), (F.col("depth") + span).alias("depth")))
+        if span >= _LONG:
+            reach = reach.groupBy(*keys, "id", "scope_id").agg(F.min("depth").alias("depth"))
         jump = jump.join(via, [*keys, "scope_id"]).select(*keys, "id", F.col("_next").alias("scope_id"))
         span *= 2
-    return known.select(*keys, "id", F.col("id").alias("scope_id"), F.lit(0).alias("depth")).unionByName(reach.filter(F.col("depth") <= max_depth))
+    return known.select(*keys, "id", F.col("id").alias("scope_id"), F.lit(0).alias("depth")).unionByName(reach.filter("id <> scope_id"))
 
 
-def least_distances(edges: DataFrame, starts: DataFrame, max_depth: int = 100) -> DataFrame:
+def least_distances(edges: DataFrame, starts: DataFrame) -> DataFrame:
     """(start, node, depth): every node that a start reaches over edges (src, dst), by the fewest edges.
 
-    Each round follows the edges from the nodes found last, so a cycle ends when
-    nothing new is found.
+    Each round follows the edges from the nodes found last, until nothing new is
+    found; so a cycle ends.
     """
     found = cut(starts.select(F.col("start"), F.col("start").alias("node"), F.lit(0).alias("depth")).distinct())
-    front = found
-    for depth in range(1, max_depth + 1):
+    front, depth = found, 0
+    while not front.isEmpty():
+        depth += 1
         front = cut(front.join(edges, front["node"] == edges["src"]).select("start", F.col("dst").alias("node"), F.lit(depth).alias("depth")).distinct().join(found, ["start", "node"], "left_anti"))
-        if front.isEmpty():
-            break
         found = cut(found.unionByName(front))
     return found
 

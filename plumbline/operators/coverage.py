@@ -41,6 +41,6 @@ def out_of_scope(cover: DataFrame, hosts: Column, allowed: Column) -> tuple[Data
     return cover.filter(inside), cover.filter(~inside)
 
 
-def distinct_messages(problems: DataFrame) -> DataFrame:
-    """The messages, without empty and repeated ones; sorted where they are shown."""
-    return problems.filter(F.col("message") != "").select("message").distinct()
+def distinct_diagnostics(problems: DataFrame) -> DataFrame:
+    """The problems without empty messages, one of each message; sorted where they are shown."""
+    return problems.filter(F.col("message") != "").dropDuplicates(["message"])

@@ -93,7 +93,7 @@ def resolve_modules(requests: DataFrame, files: DataFrame) -> DataFrame:
     return first_match(listed, files.select(F.col("path").alias("candidate")), ["from", "specifier"]).select("from", "specifier", F.col("candidate").alias("module"))
 
 
-def entry_exports(entries: DataFrame, exports: DataFrame, resolved: DataFrame, max_depth: int = 100) -> DataFrame:
+def entry_exports(entries: DataFrame, exports: DataFrame, resolved: DataFrame) -> DataFrame:
     """(entry, address, path, local, trail_order): what each entry module exposes, and under which address.
 
     A state is a module with an address so far; one that asks for a single name
@@ -107,7 +107,7 @@ def entry_exports(entries: DataFrame, exports: DataFrame, resolved: DataFrame, m
     front = cut(entries.select("entry", F.col("entry").alias("at"), F.array().cast("array<string>").alias("address"), F.lit(None).cast("string").alias("wanted"), no_order.alias("order"), F.array("entry").alias("trail"), F.lit(None).cast("string").alias("origin")).distinct())
     seen = front
     reached = None
-    for _ in range(max_depth):
+    while True:  # no trail holds a module twice, so it ends
         step = front.join(edges, front["at"] == edges["file"])
         name_fits = F.col("wanted").isNull() | (F.col("public") == F.col("wanted"))
         longer = F.concat("order", F.array("ord"))

@@ -42,3 +42,11 @@ def stage_of(stages: list[tuple[str, Column]], done: str) -> Column:
     for name, failed in stages:
         out = out.when(failed, name)
     return out.otherwise(done)
+
+
+def completeness(asked: DataFrame, results: DataFrame, key: str) -> DataFrame:
+    """(key, status) of every key asked for or in the results: one, repeated, no result, or not configured."""
+    got = results.groupBy(key).agg(F.count("*").alias("_n"))
+    both = asked.select(key).distinct().withColumn("_asked", F.lit(True)).join(got, key, "full")
+    status = F.when(F.col("_asked").isNull(), "not configured").when(F.col("_n").isNull(), "no result").when(F.col("_n") > 1, "repeated").otherwise("one")
+    return both.select(key, status.alias("status"))

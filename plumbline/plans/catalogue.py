@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from plumbline.functions import text as T
 from plumbline.functions.globs import GlobSet, glob_table, members
 from plumbline.operators import closure, coverage, resolve
+from plumbline.plans.rules import offers
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -87,6 +88,16 @@ def hierarchy_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return closure.ancestor_closure(_geography(spark, sf_dir))
 
 
+@_query("""
+WITH line AS (SELECT o_custkey AS c, o_orderkey AS id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS k FROM orders)
+SELECT a.id, b.id AS scope_id, a.k - b.k AS depth FROM line a JOIN line b ON a.c = b.c AND b.k <= a.k""")
+def deep_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders below the same customer's order before them: chains of any depth."""
+    o = _table(spark, sf_dir, "orders").select("o_custkey", F.col("o_orderkey").alias("id"))
+    before = F.lag("id").over(W.partitionBy("o_custkey").orderBy("id"))
+    return closure.ancestor_closure(o.select("id", before.alias("parent_id")))
+
+
 @_query("""
 SELECT claim, n_nationkey AS unit, n_name AS name
 FROM (SELECT DISTINCT c_mktsegment AS claim FROM customer), nation
@@ -272,22 +283,20 @@ def prefix_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query("""
-WITH RECURSIVE edges AS (
-  SELECT DISTINCT c_nationkey AS src, s_nationkey AS dst FROM orders JOIN customer ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON s_suppkey = l_suppkey
-  WHERE l_quantity = 50 AND l_discount >= 0.1 AND c_nationkey <> s_nationkey),
+WITH RECURSIVE e AS (SELECT user_id, event_type, lead(event_type) OVER w AS next, row_number() OVER w AS k FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+edges AS (SELECT DISTINCT user_id || ':' || event_type AS src, user_id || ':' || next AS dst FROM e WHERE next <> event_type),
 walk AS (
-  SELECT n_nationkey AS start, n_nationkey AS node, 0 AS depth FROM nation
-  UNION SELECT start, dst, depth + 1 FROM walk JOIN edges ON src = node WHERE depth < 25)
+  SELECT user_id || ':' || event_type AS start, user_id || ':' || event_type AS node, 0 AS depth FROM e WHERE k = 1
+  UNION SELECT start, dst, depth + 1 FROM walk JOIN edges ON src = node WHERE depth < 8)
 SELECT start, node, min(depth) AS depth FROM walk GROUP BY start, node""")
 def graph_reachability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nations reached over large discounted sales, with cycles, by the fewest steps."""
-    c = _table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
-    o = _table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    i = _table(spark, sf_dir, "lineitem").filter("l_quantity = 50 and l_discount >= 0.1").select("l_orderkey", "l_suppkey")
-    s = _table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
-    sold = i.join(s, F.col("l_suppkey") == F.col("s_suppkey")).join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(c, F.col("o_custkey") == F.col("c_custkey"))
-    edges = sold.filter("c_nationkey <> s_nationkey").select(F.col("c_nationkey").alias("src"), F.col("s_nationkey").alias("dst")).distinct()
-    return closure.least_distances(edges, _table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("start")))
+    """Kinds of events that a user's first leads to, one after the other, with cycles, by the fewest steps."""
+    e = _table(spark, sf_dir, "events").select("user_id", "event_type", "ts", "event_id")
+    line = W.partitionBy("user_id").orderBy("ts", "event_id")
+    state = lambda kind: F.concat_ws(":", "user_id", kind)
+    edges = e.withColumn("next", F.lead("event_type").over(line)).filter("next <> event_type").select(state("event_type").alias("src"), state("next").alias("dst")).distinct()
+    starts = e.groupBy("user_id").agg(F.min(F.struct("ts", "event_id", "event_type")).alias("_f")).select(state("_f.event_type").alias("start"))
+    return closure.least_distances(edges, starts)
 
 
 GLOBS = {"english": ["en/**", "!en/1*", "en/1?5*"], "leaves": ["**/*.html", "*/[0-9]", "!fr/**"], "all but german": ["**", "!de/**", "de/2*"]}
@@ -418,7 +427,7 @@ def distinct_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = _table(spark, sf_dir, "nation")
     c = _table(spark, sf_dir, "customer").filter(F.col("c_acctbal") > ACK_BALANCE).join(n, F.col("c_nationkey") == F.col("n_nationkey"))
     message = F.concat("c_mktsegment", F.lit(": "), "n_name", F.lit(" is acknowledged "), F.when(F.col("c_acctbal") > 9500, "twice").otherwise("once"))
-    return coverage.distinct_messages(c.select(message.alias("message")))
+    return coverage.distinct_diagnostics(c.select(message.alias("message")))
 
 
 @_query("""
@@ -426,30 +435,15 @@ WITH units AS (
   SELECT 'h2' AS kind, 'r' || r_regionkey AS id, r_name AS target FROM region
   UNION ALL SELECT 'file', 'n' || n_nationkey, n_name FROM nation
   UNION ALL SELECT 'operation', 's' || s_suppkey, s_name FROM supplier),
-ranked AS (SELECT target, row_number() OVER (ORDER BY CASE kind WHEN 'h2' THEN 0 WHEN 'file' THEN 1 ELSE 2 END, target, id) - 1 AS ord FROM units)
-SELECT trigger, ord, target FROM ranked, (VALUES ('@evidence '), ('@evidenceExclude ')) t(trigger)""")
+ranked AS (SELECT target, row_number() OVER (ORDER BY CASE kind WHEN 'h2' THEN 0 WHEN 'file' THEN 1 ELSE 2 END, target, id) AS ord FROM units)
+SELECT trigger, ord, target FROM ranked, (VALUES ('@cite '), ('@citeExclude ')) t(trigger)""")
 def ranked_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What completion offers after either tag: headings, files, operations."""
     r = _table(spark, sf_dir, "region").select(F.lit("h2").alias("kind"), F.concat(F.lit("r"), "r_regionkey").alias("id"), F.col("r_name").alias("target"))
     n = _table(spark, sf_dir, "nation").select(F.lit("file").alias("kind"), F.concat(F.lit("n"), "n_nationkey").alias("id"), F.col("n_name").alias("target"))
     s = _table(spark, sf_dir, "supplier").select(F.lit("operation").alias("kind"), F.concat(F.lit("s"), "s_suppkey").alias("id"), F.col("s_name").alias("target"))
-    units = r.unionByName(n).unionByName(s).withColumn("rank", T.in_order_of_rank(F.col("kind")))
-    return hint_order(units, ["rank", "target", "id"]).select("ord", "target").crossJoin(F.broadcast(spark.createDataFrame([("@evidence ",), ("@evidenceExclude ",)], "trigger string"))).select("trigger", "ord", "target")
-
-
-def hint_order(units: DataFrame, order: list[str]) -> DataFrame:
-    """units with ord, their place in the order, counted from 0.
-
-    Range partitions are numbered by themselves and moved on by the sizes of
-    those before, so no task sees all rows.
-    """
-    placed = units.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
-    placed = closure.cut(placed)
-    part, at = F.shiftright("_id", 33), F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
-    sizes = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
-    before = sizes.select("_part", F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    # one row a partition
-    return placed.withColumn("_part", part).join(F.broadcast(before), "_part").withColumn("ord", F.col("_before") + at).drop("_part", "_before", "_id")
+    units = r.unionByName(n).unionByName(s).select(F.col("kind").alias("symbol"), F.col("target").alias("place"), F.lit(0).alias("line"), "id", "target", F.col("target").alias("readable"))
+    return offers(units).select(F.col("after").alias("trigger"), "ord", F.col("insert").alias("target"))
 
 
 @_query(r"""
@@ -475,7 +469,5 @@ SELECT coalesce(got.doc_id, l.doc_id) AS source, CASE WHEN got.doc_id IS NULL TH
 FROM got FULL JOIN l ON got.doc_id = l.doc_id""")
 def source_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Configured sources against results: none, one, repeated, or not asked for."""
-    asked = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("source")).distinct()
-    got = _table(spark, sf_dir, "labels").groupBy(F.col("doc_id").alias("source")).agg(F.count("*").alias("n"))
-    both = asked.withColumn("_asked", F.lit(True)).join(got, "source", "full")
-    return both.select("source", F.when(F.col("_asked").isNull(), "not configured").when(F.col("n").isNull(), "no result").when(F.col("n") > 1, "repeated").otherwise("one").alias("status"))
+    asked = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("source"))
+    return resolve.completeness(asked, _table(spark, sf_dir, "labels").select(F.col("doc_id").alias("source")), "source")

@@ -15,12 +15,13 @@ from plumbline import model
 from plumbline.config import ConfigError, GraphConfig, decode_graph
 from plumbline.functions.globs import GlobSet, glob_table, members
 from plumbline.functions.lineage import cut
-from plumbline.functions.text import is_module, location, plain_path, starts_with
+from plumbline.functions.text import is_module, location, plain_path, redacted, starts_with
 from plumbline.operators import coverage
 from plumbline.operators.closure import ancestor_closure
 from plumbline.operators.modules import candidates_of, entry_exports, resolve_modules
+from plumbline.operators.resolve import cardinality, completeness, only_in
 from plumbline.sources import openapi
-from plumbline.sources.inventory import flat, in_program, project_scan, read_tree
+from plumbline.sources.inventory import flat, folders_of, in_program, project_scan, read_tree, root_problem
 
 CR = ["claim_idx", "ref_idx"]
 
@@ -41,6 +42,7 @@ class Graph:
     acknowledged: DataFrame
     missing: DataFrame
     diagnostics: DataFrame
+    words: tuple[str, str] = model.TAGS
 
 
 def config_tables(spark: SparkSession, config: GraphConfig) -> tuple[DataFrame, DataFrame]:
@@ -69,12 +71,12 @@ def _say(*parts: str | Column) -> Column:
 
 
 class _Build:
-    def __init__(self, spark: SparkSession, files: DataFrame, config: GraphConfig, program: GlobSet | None, fetch: Callable[[str], bytes]) -> None:
-        self.spark, self.config = spark, config
+    def __init__(self, spark: SparkSession, files: DataFrame, config: GraphConfig, program: GlobSet | None, fetch: Callable[[str], bytes], words: tuple[str, str]) -> None:
+        self.spark, self.config, self.words = spark, config, words
         self.files = files
         self.program = program
         self.claims, self.references = config_tables(spark, config)
-        self.scan = project_scan(spark, files, config, program, fetch)
+        self.scan = project_scan(spark, files, config, program, fetch, words)
         self.units = flat(self.scan, "units")
         self.problems: list[DataFrame] = []
         self.label = F.concat_ws(" ", "claim_label", "ref_label")
@@ -145,10 +147,12 @@ class _Build:
         addressed = held.join(scopes.select(*CR, F.col("scope_id").alias("id")).distinct(), [*CR, "id"], "left_semi").withColumn("owner", F.col("path"))
         by_globs = self.references.filter("not by_entry")
         none = by_globs.join(paths, CR, "left_anti")
-        self.problems.append(_problem(self._labelled(none.select(*CR)), "ref_no_files", _say(self.label, " has no files"), F.col("claim_idx"), F.col("ref_idx")))
+        lost = _problem(self._labelled(none.select(*CR)), "ref_no_files", _say(self.label, " has no files"), F.col("claim_idx"), F.col("ref_idx"))
+        self.problems.append(self._of_packages(lost))
         flawed = paths.join(flat(self.scan, "problems"), paths["path"] == F.col("file")).join(kinds, CR).filter("symbol = '*' or array_contains(kinds, symbol)").select(*CR).distinct()
         hollow = paths.groupBy(*CR).agg(F.count("*").alias("n")).join(chosen.select(*CR).distinct(), CR, "left_anti").join(flawed, CR, "left_anti")
-        self.problems.append(_problem(self._labelled(hollow), "ref_no_units", _say(self.label, " has ", F.col("n").cast("string"), " file(s) without a selected unit"), F.col("claim_idx"), F.col("ref_idx")))
+        hollow = _problem(self._labelled(hollow), "ref_no_units", _say(self.label, " has ", F.col("n").cast("string"), " file(s) without a selected unit"), F.col("claim_idx"), F.col("ref_idx"))
+        self.problems.append(self._of_packages(hollow))
         self.paths = paths
         chosen = chosen.withColumn("owner", F.col("path"))
         if any(r.by_entry for _, r in self.config.references()):
@@ -158,6 +162,16 @@ class _Build:
         self.addressed = cut(addressed)
         return cut(chosen), cut(scopes)
 
+    def _of_packages(self, problems: DataFrame) -> DataFrame:
+        """The problems, with codes of their own where the reference is to a package."""
+        packaged = [(c.index, r.index, "package") for c, r in self.config.references() if r.package]
+        if not packaged:
+            return problems
+        named = problems.join(F.broadcast(self.spark.createDataFrame(packaged, "claim_idx int, ref_idx int, _stem string")), CR, "left")
+        code = F.regexp_replace("code", "^(ref|entry)_", "")
+        stem = F.when(F.col("code").startswith("entry_"), F.lit("package_entry_")).otherwise(F.lit("package_"))
+        return named.withColumn("code", F.when(F.col("_stem").isNull(), F.col("code")).otherwise(F.concat(stem, code))).select("code", *CR, "path", "line", "message")
+
     def modules(self) -> DataFrame:
         """(from, specifier, module) of all imports and re-exports."""
         if not hasattr(self, "_modules"):
@@ -183,8 +197,8 @@ class _Build:
         located = resolve_modules(packages, self.files).select("specifier", F.col("module").alias("entry"))
         found = cut(found.unionByName(packages.join(located, "specifier").select(*CR, "entry")))
         lost = self.references.filter("by_entry").join(found, CR, "left_anti")
-        code = F.when(F.col("entry").isNull(), "package_entry_missing").otherwise("entry_missing")
-        self.problems.append(_problem(self._labelled(lost.select(*CR, code.alias("code"))), "x", _say(self.label, " has no entry module"), F.col("claim_idx"), F.col("ref_idx")).drop("code").withColumn("code", F.lit("entry_missing")).select("code", *CR, "path", "line", "message"))
+        lost = _problem(self._labelled(lost.select(*CR)), "entry_missing", _say(self.label, " has no entry module"), F.col("claim_idx"), F.col("ref_idx"))
+        self.problems.append(self._of_packages(lost))
         reached = cut(entry_exports(found.select("entry"), flat(self.scan, "exports"), self.modules()))
         owner = F.split("local", "\\.")
         whole = reached.withColumn("own", owner).join(self.units.withColumnRenamed("path", "shown"), (F.col("path") == F.col("file")) & (F.try_element_at("identity", F.lit(1)) == F.try_element_at("own", F.lit(1))))
@@ -221,24 +235,19 @@ class _Build:
         ts = targets.filter(F.col("artifact") == model.TYPESCRIPT).select(F.col("address").alias("target")).distinct()
         md = targets.filter(F.col("artifact") == model.MARKDOWN)
         mine = plain.filter(F.col("artifact") == model.TYPESCRIPT)
-        bare = mine.join(ts, "target", "left_semi").join(md.select(F.col("address").alias("target")), "target", "left_anti")
+        bare = only_in(mine, ts, md.select(F.col("address").alias("target")), "target")
         self.problems.append(_problem(bare, "unbraced", _say("'", F.col("target"), "' at ", where, " names a TypeScript symbol: write it as {@link ", F.col("target"), "} and import it"), path=F.col("path"), line=F.col("line")))
         rest = plain.join(bare.select("decl_id"), "decl_id", "left_anti")
         normal = plain_path(F.col("target"))
         direct = rest.join(targets, rest["target"] == targets["address"]).select("decl_id", "unit_id", "described")
         other = rest.withColumn("_n", normal).filter("_n <> target").join(md, F.col("_n") == md["address"]).select("decl_id", "unit_id", "described")
-        counted = self._cardinality(rest, direct.unionByName(other))
+        counted = cardinality(rest, direct.unionByName(other), ["decl_id"], "unit_id", F.col("described"))
         lost, many = counted.filter("n = 0"), counted.filter("n > 1")
         self.problems.append(_problem(lost, "unresolved", _say("'", F.col("target"), "' at ", where, " is no known unit"), path=F.col("path"), line=F.col("line")))
         self.problems.append(_problem(many, "ambiguous", _say("'", F.col("target"), "' at ", where, " could be ", F.col("matches")), path=F.col("path"), line=F.col("line")))
         good = counted.filter("n = 1").select("decl_id", F.col("unit").alias("scope_id"))
         return cut(good.unionByName(links))
 
-    @staticmethod
-    def _cardinality(wanted: DataFrame, candidates: DataFrame) -> DataFrame:
-        groups = candidates.groupBy("decl_id").agg(F.count_distinct("unit_id").alias("n"), F.min("unit_id").alias("unit"), F.array_join(F.array_sort(F.collect_set("described")), "; ").alias("matches"))
-        return wanted.join(groups, "decl_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-
     def links(self, d: DataFrame, targets: DataFrame, where: Column) -> DataFrame:
         """Inline links, through the imports of the file that holds them; the first step that fails is told."""
         foreign = d.filter(F.col("artifact") != model.TYPESCRIPT)
@@ -261,20 +270,21 @@ class _Build:
         ready = ready.filter("_name <> ''")
         scoped = targets.filter(F.col("artifact") == model.TYPESCRIPT)
         candidates = ready.join(scoped, (F.col("module") == F.col("owner")) & (F.col("_name") == F.col("address"))).select("decl_id", "unit_id", "described")
-        counted = self._cardinality(ready, candidates)
+        counted = cardinality(ready, candidates, ["decl_id"], "unit_id", F.col("described"))
         self.problems.append(_problem(counted.filter("n = 0"), "unreachable", _say(shown, ": '", F.col("module"), "' has no selected unit '", F.col("_name"), "'"), **at))
         self.problems.append(_problem(counted.filter("n > 1"), "ambiguous_in_module", _say(shown, ": '", F.col("module"), "' has ", F.col("matches")), **at))
         return counted.filter("n = 1").select("decl_id", F.col("unit").alias("scope_id"))
 
     def run(self) -> Graph:
-        claim_paths = self.claim_paths()
+        claim_paths = self.claimed = self.claim_paths()
         declared = flat(self.scan, "declarations").drop("file")
         claim_decl = cut(claim_paths.join(declared, "path"))
         chosen, scopes = self.populations()
         resolved = self.resolve(claim_decl.drop("claim_idx"))
         active = chosen.select(*CR).distinct().join(claim_paths.select("claim_idx").distinct(), "claim_idx", "left_semi")
         hosts = self.claims.select("claim_idx", "host_symbols")
-        cover = claim_decl.select("claim_idx", F.col("id").alias("decl_id"), "tag", F.col("target").alias("cited"), "hosts", "path", "line", "seq").join(resolved, "decl_id").join(scopes, ["claim_idx", "scope_id"]).join(F.broadcast(hosts), "claim_idx")
+        cover = claim_decl.select("claim_idx", F.col("id").alias("decl_id"), "tag", F.col("target").alias("cited"), "hosts", "path", "line", "seq").join(resolved, "decl_id").join(F.broadcast(hosts), "claim_idx")
+        cover = coverage.expand(cover, scopes, ["claim_idx", "scope_id"])
         inside, outside = coverage.out_of_scope(cut(cover), F.col("hosts"), F.col("host_symbols"))
         where = location(F.col("path"), F.col("line"))
         host = F.when(F.size("hosts") > 0, F.array_join("hosts", ", ")).otherwise("none")
@@ -291,38 +301,56 @@ class _Build:
         missing = cut(coverage.missing(about.join(active, CR, "left_semi"), ack, unit_keys))
         both_ts = (F.col("unit_artifact") == model.TYPESCRIPT) & (F.col("claim_artifact") == model.TYPESCRIPT)
         form = F.when(both_ts, _say("{@link ", F.col("target"), "}")).otherwise(F.col("target"))
-        self.problems.append(_problem(self._labelled(missing), "missing", _say("'", F.col("target"), "' (", F.col("readable"), " at ", location(F.col("unit_path"), F.col("unit_line")), ") isn't acknowledged in ", self.label, ": cite '@evidence ", form, " <reason>', or '@evidenceExclude ", form, " <reason>'"), F.col("claim_idx"), F.col("ref_idx"), F.col("unit_path"), F.col("unit_line")))
+        self.problems.append(_problem(self._labelled(missing), "missing", _say("'", F.col("target"), "' (", F.col("readable"), " at ", location(F.col("unit_path"), F.col("unit_line")), ") isn't acknowledged in ", self.label, f": cite '@{self.words[0]} ", form, f" <reason>', or '@{self.words[1]} ", form, " <reason>'"), F.col("claim_idx"), F.col("ref_idx"), F.col("unit_path"), F.col("unit_line")))
         self.scan_problems()
         found = self.problems[0]
         for p in self.problems[1:]:
             found = found.unionByName(p)
-        diagnostics = cut(found.filter("message <> ''").dropDuplicates(["message"]))
-        return Graph(self.config, self.claims, self.references, self.scan, claim_decl, chosen, scopes, resolved, inside, ack, missing, diagnostics)
+        diagnostics = cut(coverage.distinct_diagnostics(found))
+        return Graph(self.config, self.claims, self.references, self.scan, claim_decl, chosen, scopes, resolved, inside, ack, missing, diagnostics, self.words)
 
     def scan_problems(self) -> None:
-        """What the scanners couldn't use, as far as a reference selects it."""
+        """What the scanners couldn't use, as far as a claim or reference selects it."""
         flaws = flat(self.scan, "problems", "artifact")
         api = flaws.filter(F.col("artifact") == model.OPENAPI)
-        self.problems.append(_problem(api, "api_unusable", F.col("message"), path=F.col("file")))
+        self.problems.append(self._coded(api))
+        sources = sorted({r.source for _, r in self.config.references(model.OPENAPI)})
+        if sources:
+            asked = self.spark.createDataFrame([(s,) for s in sources], "path string")
+            states = completeness(asked, self.scan.filter(F.col("artifact") == model.OPENAPI).select("path"), "path")
+            for status, code, text in (("no result", "swagger_no_result", "gave no result"), ("repeated", "swagger_repeated", "gave several results"), ("not configured", "swagger_unconfigured", "gave a result that no reference asks for")):
+                self.problems.append(_problem(states.filter(F.col("status") == status), code, _say("API description '", redacted(F.col("path")), f"' {text}"), path=redacted(F.col("path"))))
         kinds = self.references.filter(F.col("artifact") == model.MARKDOWN).select(*CR, F.col("symbols").alias("kinds"))
         wanted = self.paths.join(kinds, CR).select(F.col("path").alias("file"), "kinds")
         md = flaws.filter(F.col("artifact") == model.MARKDOWN).join(wanted, "file").filter("symbol = '*' or array_contains(kinds, symbol)")
-        self.problems.append(_problem(md, "markdown_unusable", F.col("message"), path=F.col("file")))
+        self.problems.append(self._coded(md))
+        read = self.claimed.select("path").unionByName(self.paths.select("path")).select(F.col("path").alias("file")).distinct()
+        broken = flaws.filter(F.col("code").isin("md_unreadable", "ts_unreadable")).join(read, "file", "left_semi")
+        self.problems.append(self._coded(broken))
+
+    @staticmethod
+    def _coded(flaws: DataFrame) -> DataFrame:
+        return flaws.select("code", *[F.lit(None).cast("int").alias(c) for c in CR], F.col("file").alias("path"), F.lit(None).cast("int").alias("line"), "message")
 
 
-def check_files(spark: SparkSession, files: DataFrame, config: GraphConfig | dict | str, program: list[str] | None = None, fetch: Callable[[str], bytes] = openapi.fetch) -> Graph:
-    """The graph rule over files (path, content); ConfigError if the configuration can't be used."""
+def check_files(spark: SparkSession, files: DataFrame, config: GraphConfig | dict | str, program: list[str] | None = None, fetch: Callable[[str], bytes] = openapi.fetch, words: tuple[str, str] = model.TAGS) -> Graph:
+    """The graph rule over files (path, content); ConfigError if the configuration can't be used. words: the names of the two tags."""
     config = config if isinstance(config, GraphConfig) else decode_graph(config)
-    return _Build(spark, files, config, GlobSet(program) if program else None, fetch).run()
+    return _Build(spark, files, config, GlobSet(program) if program else None, fetch, words).run()
 
 
-def check_tree(spark: SparkSession, root: str, config: GraphConfig | dict | str, program: list[str] | None = None, fetch: Callable[[str], bytes] = openapi.fetch) -> Graph:
-    """The graph rule over the files below a folder, of which only what may be asked for is listed."""
-    from plumbline.sources.inventory import folders_of
+def check_tree(spark: SparkSession, root: str, config: GraphConfig | dict | str, program: list[str] | None = None, fetch: Callable[[str], bytes] = openapi.fetch, words: tuple[str, str] = model.TAGS) -> Graph:
+    """The graph rule over the files below a folder, of which only what may be asked for is listed.
 
+    A folder that isn't there or can't be read is the only diagnostic.
+    """
     config = config if isinstance(config, GraphConfig) else decode_graph(config)
     globs = GlobSet(program) if program else None
-    return check_files(spark, read_tree(spark, root, folders_of(config, globs)), config, program, fetch)
+    if wrong := root_problem(spark, root):
+        graph = check_files(spark, spark.createDataFrame([], model.FILES), config, program, lambda _: b"", words)
+        graph.diagnostics = spark.createDataFrame([(wrong[0], None, None, root, None, wrong[1])], graph.diagnostics.schema)
+        return graph
+    return check_files(spark, read_tree(spark, root, folders_of(config, globs)), config, program, fetch, words)
 
 
 def report(graph: Graph) -> DataFrame:

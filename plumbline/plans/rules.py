@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 
 from plumbline import model
 from plumbline.config import decode_documented
+from plumbline.functions.lineage import cut
 from plumbline.functions.text import base_name, in_order_of_rank
 from plumbline.plans.graph import Graph
 from plumbline.sources.inventory import flat, in_program, scan_typescript
 
 FINDINGS = "path string, line int, rule string, message string"
-TRIGGERS = ("@evidence ", "@evidenceExclude ")
 
 
 def _checked(files: DataFrame) -> DataFrame:
@@ -47,16 +47,38 @@ def documented(files: DataFrame, options: dict | None = None) -> DataFrame:
     return hosts.select(F.col("file").alias("path"), "line", F.lit("documented").alias("rule"), F.concat(state, what).alias("message"))
 
 
+def in_order(rows: DataFrame, *order: str) -> DataFrame:
+    """rows with ord, their place in the order, counted from 0.
+
+    Range partitions are numbered by themselves and moved on by the sizes of
+    those before, so no task sees all rows.
+    """
+    placed = cut(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id()))
+    part, at = F.shiftright("_id", 33), F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    before = sizes.select("_part", F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    # one row a partition
+    return placed.withColumn("_part", part).join(F.broadcast(before), "_part").withColumn("ord", F.col("_before") + at).drop("_part", "_before", "_id")
+
+
+def offers(units: DataFrame, words: tuple[str, str] = model.TAGS, link: bool = False) -> DataFrame:
+    """(ord, after, insert, label, detail): what completion offers after either tag, headings, files, then operations.
+
+    units has symbol, place, line, id, target and readable; link: the start of
+    an inline link comes first.
+    """
+    spark = units.sparkSession
+    ranked = in_order(units.withColumn("_rank", in_order_of_rank(F.col("symbol"))), "_rank", "place", "line", "id")
+    ranked = ranked.select((F.col("ord") + 1).alias("ord"), F.col("target").alias("insert"), F.lit(None).cast("string").alias("label"), F.col("readable").alias("detail"))
+    if link:
+        ranked = spark.createDataFrame([(0, "{@link ", "{@link", "TypeScript symbol, resolved by the imports of the file")], "ord long, insert string, label string, detail string").unionByName(ranked)
+    after = spark.createDataFrame([(f"@{w} ",) for w in words], "after string")
+    return ranked.crossJoin(F.broadcast(after)).select("ord", "after", "insert", "label", "detail")
+
+
 def hints(spark: SparkSession, graph: Graph) -> DataFrame:
-    """(ord, after, insert, label, detail) for completion; nothing if the check found anything wrong."""
-    schema = "ord long, after string, insert string, label string, detail string"
+    """What completion offers for a project; nothing if the check found anything wrong."""
     if not graph.diagnostics.isEmpty():
-        return spark.createDataFrame([], schema)
+        return spark.createDataFrame([], "ord long, after string, insert string, label string, detail string")
     units = graph.reference_units.filter(F.col("artifact") != model.TYPESCRIPT).dropDuplicates(["id"])
-    # an editor's list: what it ranks is what it shows
-    rank = F.row_number().over(W.orderBy(in_order_of_rank(F.col("symbol")), F.coalesce("shown", "path"), "line", "id"))
-    ranked = units.select(rank.cast("long").alias("ord"), F.col("target").alias("insert"), F.lit(None).cast("string").alias("label"), F.col("readable").alias("detail"))
-    if graph.config.references(model.TYPESCRIPT):
-        ranked = spark.createDataFrame([(0, "{@link ", "{@link", "TypeScript symbol, resolved by the imports of the file")], "ord long, insert string, label string, detail string").unionByName(ranked)
-    after = spark.createDataFrame([(t,) for t in TRIGGERS], "after string")
-    return ranked.crossJoin(F.broadcast(after)).select("ord", "after", "insert", "label", "detail")
+    return offers(units.withColumn("place", F.coalesce("shown", "path")), graph.words, bool(graph.config.references(model.TYPESCRIPT)))

@@ -7,15 +7,19 @@ configuration doesn't ask for is neither listed nor read.
 from __future__ import annotations
 
 import posixpath
+import re
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from py4j.protocol import Py4JJavaError
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline import model
 from plumbline.config import GraphConfig
-from plumbline.functions.globs import GlobSet, glob_table, members
+from plumbline.functions.globs import GlobSet, selected
 from plumbline.functions.lineage import cut
 from plumbline.functions.text import is_module, package_name
 from plumbline.sources import markdown, openapi, typescript
@@ -34,10 +38,49 @@ def read_tree(spark: SparkSession, root: str, folders: list[str] | None = None)
     return raw.select(F.substring(plain, len(stem) + 1, 1 << 30).alias("path"), "content")
 
 
+def _place(spark: SparkSession, path: str) -> tuple:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+    files, p = _place(spark, path)
+    return files.exists(p)
+
+
+def root_problem(spark: SparkSession, root: str) -> tuple[str, str] | None:
+    """(code, message) if the folder isn't there or can't be listed."""
+    try:
+        files, p = _place(spark, root)
+        if not files.exists(p):
+            return "root_unresolved", f"there is no folder '{root}'"
+        if not files.getFileStatus(p).isDirectory():
+            return "root_unreadable", f"'{root}' is no folder"
+        files.listStatusIterator(p).hasNext()
+    except Py4JJavaError as e:
+        return "root_unreadable", f"'{root}' can't be read: {str(e.java_exception.getMessage() or e.java_exception).splitlines()[0]}"
+    return None
+
+
+def write_tree(files: DataFrame, root: str) -> None:
+    """Write (path, content) as files below a folder, on any file system that pyarrow knows; a file is there whole or not at all."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        system, base = fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", root)) if ":" in root.split("/")[0] else (fs.LocalFileSystem(), root)
+        made: set[str] = set()
+        for b in batches:
+            for path, content in zip(b["path"], b["content"]):
+                name = posixpath.join(base, path)
+                if (folder := posixpath.dirname(name)) not in made:
+                    system.create_dir(folder, recursive=True)
+                    made.add(folder)
+                part = f"{folder}/.{uuid.uuid4().hex}"
+                with system.open_output_stream(part) as out:
+                    out.write(bytes(content if content is not None else b""))
+                system.move(part, name)
+            yield pd.DataFrame({"n": [len(b)]})
+
+    files.select("path", "content").mapInPandas(run, "n long").agg(F.sum("n")).collect()
 
 
 def folders_of(config: GraphConfig, program: GlobSet | None) -> list[str] | None:
@@ -61,14 +104,28 @@ def folders_of(config: GraphConfig, program: GlobSet | None) -> list[str] | None
     return [p.rstrip("/") for p in kept if not any(p != q and p.startswith(q) for q in kept)]
 
 
-def _scanned(rows: DataFrame, one: Callable[[str, bytes | None], dict]) -> DataFrame:
-    """Scan rows of (path, content)."""
+class Unreadable(ValueError):
+    """Why a file can't be scanned."""
+
+
+def _scanned(rows: DataFrame, artifact: str, code: str, one: Callable[[str, bytes | None], dict]) -> DataFrame:
+    """Scan rows of (path, content); whatever a scanner raises is that file's problem, of that code."""
+
+    def guarded(path: str, content: bytes | None) -> dict:
+        try:
+            return one(path, content)
+        except Unreadable as e:
+            why = str(e)
+        except Exception as e:  # noqa: BLE001 - one file mustn't end the job of all
+            why = f"{type(e).__name__}: {e}"
+        shown = openapi.shown(path) if artifact == model.OPENAPI else path
+        return {"path": path, "artifact": artifact, "problems": [{"code": code, "symbol": "*", "message": f"'{shown}' can't be scanned: {why}"}]}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         empty = {"units": [], "declarations": [], "problems": [], "imports": [], "exports": [], "identities": [], "anonymous_line": None, "doc_hosts": []}
         order = ["path", "artifact", "units", "declarations", "problems", "imports", "exports", "identities", "anonymous_line", "doc_hosts"]
         for b in batches:
-            found = [empty | one(p, c) for p, c in zip(b["path"], b["content"])]
+            found = [empty | guarded(p, c) for p, c in zip(b["path"], b["content"])]
             frame = pd.DataFrame(found, columns=order)
             frame["anonymous_line"] = frame["anonymous_line"].astype("Int32")
             yield frame
@@ -76,16 +133,21 @@ def _scanned(rows: DataFrame, one: Callable[[str, bytes | None], dict]) -> DataF
     return rows.mapInPandas(run, model.SCAN)
 
 
-def _text(content: bytes) -> str:
-    return bytes(content).decode("utf-8", "replace")
+def _text(content: bytes | None) -> str:
+    if content is None:
+        raise Unreadable("it has no content")
+    try:
+        return bytes(content).decode("utf-8")
+    except UnicodeDecodeError as e:
+        raise Unreadable(f"it isn't UTF-8 at byte {e.start}") from e
 
 
-def scan_markdown(files: DataFrame) -> DataFrame:
-    return _scanned(files, lambda p, c: markdown.scan(p, _text(c)))
+def scan_markdown(files: DataFrame, words: tuple[str, str] = model.TAGS) -> DataFrame:
+    return _scanned(files, model.MARKDOWN, "md_unreadable", lambda p, c: markdown.scan(p, _text(c), words))
 
 
-def scan_typescript(files: DataFrame) -> DataFrame:
-    return _scanned(files, lambda p, c: typescript.scan(p, _text(c)))
+def scan_typescript(files: DataFrame, words: tuple[str, str] = model.TAGS) -> DataFrame:
+    return _scanned(files, model.TYPESCRIPT, "ts_unreadable", lambda p, c: typescript.scan(p, _text(c), words))
 
 
 def scan_openapi(sources: DataFrame, fetch: Callable[[str], bytes] = openapi.fetch) -> DataFrame:
@@ -101,35 +163,35 @@ def scan_openapi(sources: DataFrame, fetch: Callable[[str], bytes] = openapi.fet
 
         return openapi.scan(source, read)
 
-    return _scanned(sources, one)
+    return _scanned(sources, model.OPENAPI, "swagger_bridge", one)
 
 
 def in_program(path: F.Column) -> F.Column:
     return is_module(path) & ~path.rlike("(^|/)node_modules/")
 
 
-def project_scan(spark: SparkSession, files: DataFrame, config: GraphConfig, program: GlobSet | None = None, fetch: Callable[[str], bytes] = openapi.fetch) -> DataFrame:
+def project_scan(spark: SparkSession, files: DataFrame, config: GraphConfig, program: GlobSet | None = None, fetch: Callable[[str], bytes] = openapi.fetch, words: tuple[str, str] = model.TAGS) -> DataFrame:
     """Scan rows of all that the configuration asks for, computed once."""
     parts = []
     wanted = {f"c{c.index}": c.globs for c in config.claims if c.artifact == model.MARKDOWN}
     wanted |= {f"c{c.index}r{r.index}": r.globs for c, r in config.references(model.MARKDOWN)}
     if wanted:
-        chosen = members(files.select("path"), glob_table(spark, wanted), F.col("path")).select("path").distinct()
-        parts.append(scan_markdown(files.join(chosen, "path", "left_semi")))
+        # a filter on paths, so that the contents of other files are never read or moved
+        parts.append(scan_markdown(files.filter(selected(F.col("path"), list(wanted.values()))), words))
     sources = sorted({r.source for _, r in config.references(model.OPENAPI)})
     if sources:
         asked = spark.createDataFrame([(s,) for s in sources], "path string")
         parts.append(scan_openapi(asked.join(files, "path", "left").select("path", "content"), fetch))
     if any(c.artifact == model.TYPESCRIPT for c in config.claims) or config.references(model.TYPESCRIPT):
         own = files.filter(in_program(F.col("path")))
-        scans = [cut(scan_typescript(own))]
+        scans = [cut(scan_typescript(own, words))]
         done: set[str] = set()
         todo = {r.package for _, r in config.references(model.TYPESCRIPT) if r.package}
         while todo:
             done |= todo
             package = package_name(F.regexp_replace("path", "^node_modules/", ""))
             inner = files.filter(F.col("path").startswith("node_modules/") & is_module(F.col("path")) & package.isin(sorted(todo)) & ~F.substring("path", 14, 1 << 30).contains("/node_modules/"))
-            scans.append(cut(scan_typescript(inner)))
+            scans.append(cut(scan_typescript(inner, words)))
             bare = scans[-1].select(F.explode("exports.specifier").alias("s")).filter("s is not null and not s like './%' and not s like '../%' and not s like '/%'")
             todo = {r[0] for r in bare.select(package_name(F.col("s"))).distinct().collect()} - done
         parts += scans

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 
-from plumbline.sources.tags import line_of, tags
+from plumbline.model import TAGS
+from plumbline.sources.tags import tags
 
 _FENCE = re.compile(r" {0,3}(`{3,}|~{3,})(.*)", re.DOTALL)
 _HEADING = re.compile(r" {0,3}(#{1,6})(?=[ \t]|$)(.*)", re.DOTALL)
@@ -53,7 +55,7 @@ def _states(lines: list[str]) -> list[tuple[bool, bool]]:
     return out
 
 
-def scan(path: str, text: str) -> dict:
+def scan(path: str, text: str, words: tuple[str, str] = TAGS) -> dict:
     """The scan row of one file."""
     lines = [x.removesuffix("\r") for x in text.split("\n")]
     states = _states(lines)
@@ -67,7 +69,7 @@ def scan(path: str, text: str) -> dict:
 
     whole = unit("file", None, path, 1, "Markdown file") if usable else None
     if not usable:
-        problems.append({"symbol": "*", "message": f"Markdown file '{path}' can't be cited: its path has blanks"})
+        problems.append({"code": "md_path_whitespace", "symbol": "*", "message": f"Markdown file '{path}' can't be cited: its path has blanks"})
     host, open_at = "file", {}
     for k, (line, (_, hidden)) in enumerate(zip(lines, states)):
         found = None if hidden else heading(line)
@@ -84,14 +86,15 @@ def scan(path: str, text: str) -> dict:
                         parent = open_at[max(open_at)] if open_at else whole
                         open_at[level] = unit(host, parent, f"{path}#{anchor}", k + 1, f"Markdown {host.upper()} '{clean}'")
                     else:
-                        problems.append({"symbol": host, "message": f"Markdown heading at {path}:{k + 1} can't be cited: it has no anchor"})
+                        problems.append({"code": "md_no_anchor", "symbol": host, "message": f"Markdown heading at {path}:{k + 1} can't be cited: it has no anchor"})
         hosts.append(host)
     declarations = []
+    breaks = [m.start() for m in re.finditer("\n", text)]
     for m in _COMMENT.finditer(text):
-        line = line_of(text, m.start())
+        line = bisect_left(breaks, m.start()) + 1
         if states[line - 1][0]:
             continue
-        for t in tags(m[1]):
+        for t in tags(m[1], words):
             seq = len(declarations) + 1
             declarations.append({"id": f"markdown:{path}:{line + t.offset}:{seq}", "artifact": "markdown", "tag": t.tag, "target": t.target, "is_link": t.is_link, "reason": t.reason, "hosts": [hosts[line - 1]], "path": path, "line": line + t.offset, "seq": seq})
     return {"path": path, "artifact": "markdown", "units": units, "declarations": declarations, "problems": problems}

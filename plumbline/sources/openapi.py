@@ -46,6 +46,8 @@ def parse(data: bytes) -> dict:
         raise SourceError("the document isn't UTF-8") from e
     try:
         document = json.loads(text)
+    except RecursionError as e:
+        raise SourceError("the document is nested too deeply") from e
     except ValueError:
         try:
             import yaml
@@ -53,8 +55,8 @@ def parse(data: bytes) -> dict:
             raise SourceError("YAML can't be read here") from e
         try:
             document = yaml.safe_load(text)
-        except yaml.YAMLError as e:
-            raise SourceError(f"neither JSON nor YAML: {str(e).splitlines()[0]}") from e
+        except (yaml.YAMLError, RecursionError, ValueError, TypeError) as e:
+            raise SourceError(f"neither JSON nor YAML: {(str(e) or 'unreadable').splitlines()[0]}") from e
     if not isinstance(document, dict):
         raise SourceError("the document is no object")
     version = str(document.get("openapi", document.get("swagger", "")))
@@ -64,18 +66,18 @@ def parse(data: bytes) -> dict:
 
 
 def operations(document: dict) -> list[tuple[str, str]]:
-    """Sorted (method, path); SourceError if one repeats or can't form an address."""
+    """Sorted (method, path); SourceError if one repeats."""
     found = []
-    for path, item in (document.get("paths") or {}).items():
+    paths = document.get("paths")
+    if paths is not None and not isinstance(paths, dict):
+        raise SourceError("'paths' is no object")
+    for path, item in (paths or {}).items():
         if not isinstance(item, dict):
             continue
-        more = item.get("additionalOperations") or {}
-        for method in [m for m in METHODS if m in item] + list(more):
-            if not str(path).startswith("/"):
-                raise SourceError(f"path '{path}' doesn't start with '/'")
-            if not _METHOD.fullmatch(method):
-                raise SourceError(f"method '{method}' can't form an address")
-            found.append((method.upper(), path))
+        more = item.get("additionalOperations")
+        if more is not None and not isinstance(more, dict):
+            raise SourceError(f"'additionalOperations' of path '{path}' is no object")
+        found += [(str(method).upper(), str(path)) for method in [m for m in METHODS if m in item] + list(more or {})]
     found.sort()
     for a, b in zip(found, found[1:]):
         if a == b:
@@ -86,15 +88,23 @@ def operations(document: dict) -> list[tuple[str, str]]:
 def scan(source: str, read: Callable[[], bytes]) -> dict:
     """The scan row of one description; a failure is its problem."""
     row = {"path": source, "artifact": "swagger", "units": [], "declarations": [], "problems": []}
+
+    def problem(code: str, why: str) -> None:
+        row["problems"].append({"code": code, "symbol": "operation", "message": f"API description '{shown(source)}' {why}"})
+
     try:
         found = operations(parse(read()))
     except (SourceError, OSError) as e:
-        row["problems"].append({"symbol": "operation", "message": f"API description '{shown(source)}' can't be used: {e}"})
+        problem("swagger_normalize", f"can't be used: {e}")
         return row
     for method, path in found:
-        if re.search(r"\s", path):
-            row["problems"].append({"symbol": "operation", "message": f"API description '{shown(source)}': path '{path}' has blanks and can't be cited"})
-            continue
-        target = f"{method}:{path}"
-        row["units"].append({"id": f"swagger:{source}:{target}", "parent_id": None, "target": target, "identity": None, "aliases": [], "artifact": "swagger", "symbol": "operation", "path": shown(source), "line": 0, "readable": f"operation '{method} {path}'"})
+        if not path.startswith("/"):
+            problem("swagger_bad_operation", f"has path '{path}', which doesn't start with '/'")
+        elif not _METHOD.fullmatch(method):
+            problem("swagger_bad_operation", f"has method '{method}', which can't form an address")
+        elif re.search(r"\s", path):
+            problem("swagger_bad_operation", f"has path '{path}', whose blanks can't be cited")
+        else:
+            target = f"{method}:{path}"
+            row["units"].append({"id": f"swagger:{source}:{target}", "parent_id": None, "target": target, "identity": None, "aliases": [], "artifact": "swagger", "symbol": "operation", "path": shown(source), "line": 0, "readable": f"operation '{method} {path}'"})
     return row

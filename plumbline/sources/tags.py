@@ -4,11 +4,18 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import cache
+
+from plumbline.model import TAGS
 
-_TAG = re.compile(r"@(evidenceExclude|evidence)(?=[ \t]|$)(.*)", re.DOTALL)
 _LINK = re.compile(r"\{@link(?:code|plain)?+([^}]*)\}(.*)", re.DOTALL)
 
 
+@cache
+def _tag(words: tuple[str, str]) -> re.Pattern[str]:
+    return re.compile(rf"@({'|'.join(map(re.escape, words))})(?=[ \t]|$)(.*)", re.DOTALL)
+
+
 @dataclass(frozen=True)
 class Tag:
     tag: str
@@ -29,8 +36,8 @@ def body_of(text: str) -> tuple[str, bool, str]:
     return first, False, text[len(first) :].strip()
 
 
-def tags(comment: str) -> list[Tag]:
-    """Tags of a comment, offset counting the lines before them.
+def tags(comment: str, words: tuple[str, str] = TAGS) -> list[Tag]:
+    """Tags of a comment, offset counting the lines before them; words are their names.
 
     A tag starts a line, after a '*' if there is one, and goes on to the next
     tag; in a documentation block any other '@' word ends it too.
@@ -48,7 +55,7 @@ def tags(comment: str) -> list[Tag]:
 
     for k, raw in enumerate(text.split("\n")):
         line = raw.strip().removeprefix("*").strip()
-        if m := _TAG.match(line):
+        if m := _tag(words).match(line):
             close()
             name, at, held = m[1], k, [m[2]]
         elif block and line.startswith("@"):
@@ -58,7 +65,3 @@ def tags(comment: str) -> list[Tag]:
             held.append(line)
     close()
     return out
-
-
-def line_of(text: str, at: int) -> int:
-    return text.count("\n", 0, at) + 1

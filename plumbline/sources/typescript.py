@@ -9,9 +9,12 @@ namespaces, import and export lists.
 from __future__ import annotations
 
 import re
+import sys
+from bisect import bisect_left
 from dataclasses import dataclass, field
 
-from plumbline.sources.tags import line_of, tags
+from plumbline.model import TAGS
+from plumbline.sources.tags import tags
 
 _ID = re.compile(r"[#A-Za-z_$\u0080-￿][\w$\u0080-￿]*")
 _NUM = re.compile(r"0[xXoObB][\da-fA-F_]+n?|(?:\d[\d_]*\.?[\d_]*|\.\d[\d_]*)(?:[eE][+-]?\d+)?n?")
@@ -58,10 +61,12 @@ def _hole_end(s: str, i: int) -> int:
             i = m.end()
             continue
         if s.startswith("/*", i):
-            i = max(i + 2, s.find("*/", i) + 2) if "*/" in s[i:] else len(s)
+            end = s.find("*/", i + 2)
+            i = len(s) if end < 0 else end + 2
             continue
         if s.startswith("//", i):
-            i = s.find("\n", i) if "\n" in s[i:] else len(s)
+            end = s.find("\n", i)
+            i = len(s) if end < 0 else end
             continue
         depth += (c == "{") - (c == "}")
         i += 1
@@ -143,7 +148,17 @@ class _Reader:
     """Statements out of tokens."""
 
     def __init__(self, tokens: list[Token]) -> None:
-        self.t, self.i = tokens, 0
+        # what is open at the end may step beyond it, a few tokens for each that opened it
+        self.t, self.i = tokens + [tokens[-1]] * (4 * len(tokens) + 16), 0
+        #: the bracket that closes each bracket, the last token where none does
+        self.close: dict[int, int] = {}
+        open_: list[int] = []
+        for k, t in enumerate(tokens):
+            if t.kind == "p" and t.text in _OPEN:
+                open_.append(k)
+            elif t.kind == "p" and t.text in _CLOSE and open_:
+                self.close[open_.pop()] = k
+        self.close |= dict.fromkeys(open_, len(tokens) - 1)
 
     def at(self, *texts: str, ahead: int = 0) -> bool:
         t = self.t[min(self.i + ahead, len(self.t) - 1)]
@@ -162,14 +177,11 @@ class _Reader:
         return "" if re.search(r"\s", text) or text.startswith("#") else text
 
     def skip_group(self) -> None:
-        """Over a bracketed group that starts here."""
-        depth = 0
-        while self.now.kind != "end":
-            if self.now.kind == "p":
-                depth += (self.now.text in _OPEN) - (self.now.text in _CLOSE)
-            self.i += 1
-            if depth <= 0:
-                return
+        """Over a bracketed group that starts here, or one token."""
+        if self.now.kind != "end":
+            self.i = self.close.get(self.i, self.i)
+            if self.now.kind != "end":
+                self.i += 1
 
     def skip_angles(self) -> None:
         """Over <...> that starts here."""
@@ -493,14 +505,7 @@ class _Reader:
 
     def _match(self, k: int, end: int) -> int:
         """Number of the token that closes the bracket at k, or end."""
-        depth = 0
-        while k < end:
-            if self.t[k].kind == "p":
-                depth += (self.t[k].text in _OPEN) - (self.t[k].text in _CLOSE)
-            if depth == 0:
-                return k
-            k += 1
-        return end
+        return min(self.close.get(k, k), end)
 
     def _past_angles(self, k: int, end: int) -> int:
         depth = 0
@@ -814,10 +819,12 @@ class _Reader:
 class _Collector:
     """Units, hosts, imports and exports out of statements."""
 
-    def __init__(self, path: str, text: str) -> None:
-        self.path, self.text = path, text
-        self.reader = _Reader(tokenize(text))
-        self.tokens = self.reader.t
+    def __init__(self, path: str, text: str, words: tuple[str, str] = TAGS) -> None:
+        self.path, self.text, self.words = path, text, words
+        self.lines = [m.start() for m in re.finditer("\n", text)]
+        own = tokenize(text)
+        self.reader = _Reader(own)
+        self.tokens, self.count = self.reader.t, len(own)
         self.statements = self.reader.statements()
         self.units: list[dict] = []
         self.by_id: dict[str, dict] = {}
@@ -827,7 +834,10 @@ class _Collector:
         self.collect(self.statements, [], None, path.endswith(tuple(f".d.{x}ts" for x in ("", "m", "c"))), False, False)
 
     def line(self, k: int) -> int:
-        return line_of(self.text, self.tokens[k].start)
+        return self.line_of(self.tokens[k].start)
+
+    def line_of(self, at: int) -> int:
+        return bisect_left(self.lines, at) + 1
 
     def unit(self, at: int, symbol: str, identity: list[str], parent: str | None, host: int, variable: bool = False) -> str:
         name = identity_id(self.path, symbol, identity)
@@ -1007,22 +1017,31 @@ class _Collector:
 
     def declarations(self) -> list[dict]:
         out = []
-        for k, t in enumerate(self.tokens):
+        for k, t in enumerate(self.tokens[: self.count]):
             for a, z in t.docs:
-                base = line_of(self.text, a)
-                for tag in tags(self.text[a:z]):
+                base = self.line_of(a)
+                for tag in tags(self.text[a:z], self.words):
                     seq = len(out) + 1
                     line = base + tag.offset
                     out.append({"id": f"typescript:{self.path}:{line}:{seq}", "artifact": "typescript", "tag": tag.tag, "target": tag.target, "is_link": tag.is_link, "reason": tag.reason, "hosts": sorted(self.hosts.get(k, ())), "path": self.path, "line": line, "seq": seq})
         return out
 
 
-def scan(path: str, text: str) -> dict:
+def scan(path: str, text: str, words: tuple[str, str] = TAGS) -> dict:
     """The scan row of one file."""
-    c = _Collector(path, text)
+    # nested declarations are read by recursion, of Python frames only: as deep as the text nests
+    held = sys.getrecursionlimit()
+    sys.setrecursionlimit(max(held, 4 * len(text) + 1000))
+    try:
+        return _row(_Collector(path, text, words))
+    finally:
+        sys.setrecursionlimit(held)
+
+
+def _row(c: _Collector) -> dict:
     identities, anonymous = c.surface()
     return {
-        "path": path,
+        "path": c.path,
         "artifact": "typescript",
         "units": c.units,
         "declarations": c.declarations(),

@@ -4,8 +4,8 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from plumbline.operators import closure, coverage
-from plumbline.plans import catalogue
+from plumbline.operators import closure, coverage, resolve
+from plumbline.plans import catalogue, rules
 from plumbline.plans.rules import documented, singular
 from pyspark.sql import functions as F
 
@@ -84,5 +84,25 @@ def test_entry(spark):
 
 def test_hint_order_spans_partitions(spark):
     rows = spark.range(1000).select(F.format_string("%04d", F.col("id")).alias("target"), F.lit(0).alias("rank")).repartition(7)
-    got = catalogue.hint_order(rows, ["rank", "target"]).select("ord", "target").collect()
+    got = rules.in_order(rows, "rank", "target").select("ord", "target").collect()
     assert all(int(r.target) == r.ord for r in got)
+
+
+def test_closure_of_any_depth_and_of_cycles(spark):
+    chain = [(k, k - 1 if k else None) for k in range(150)] + [(200 + k, 200 + (k + 1) % 5) for k in range(5)] + [(300, 999), (301, 301)]
+    got = {(r.id, r.scope_id): r.depth for r in closure.ancestor_closure(spark.createDataFrame(chain, "id int, parent_id int")).collect()}
+    want = {(a, b): a - b for a in range(150) for b in range(a + 1)}
+    want |= {(200 + a, 200 + (a + d) % 5): d for a in range(5) for d in range(5)} | {(300, 300): 0, (301, 301): 0}
+    assert got == want
+
+
+def test_reachability_has_no_limit(spark):
+    edges = spark.createDataFrame([(k, k + 1) for k in range(30)] + [(30, 0)], "src int, dst int")
+    got = {r.node: r.depth for r in closure.least_distances(edges, spark.createDataFrame([(3,)], "start int")).collect()}
+    assert got == {(3 + d) % 31: d for d in range(31)}
+
+
+def test_completeness(spark):
+    asked = spark.createDataFrame([("a",), ("b",), ("c",), ("a",)], "source string")
+    got = resolve.completeness(asked, spark.createDataFrame([("a",), ("b",), ("b",), ("x",)], "source string"), "source")
+    assert {r.source: r.status for r in got.collect()} == {"a": "one", "b": "repeated", "c": "no result", "x": "not configured"}

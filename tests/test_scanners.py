@@ -1,29 +1,30 @@
 """Scanners on texts."""
 
+import json
+
 import pytest
-from hypothesis import given
+from hypothesis import example, given, settings
 from hypothesis import strategies as st
 
-from plumbline.sources import markdown, openapi, typescript
-from plumbline.sources.tags import tags
+from plumbline.sources import inventory, markdown, openapi, tags, typescript
 
 
 def parsed(text):
-    return [(t.tag, t.target, t.is_link, t.reason, t.offset) for t in tags(text)]
+    return [(t.tag, t.target, t.is_link, t.reason, t.offset) for t in tags.tags(text)]
 
 
 @pytest.mark.parametrize(
     ("text", "want"),
     [
-        ("@evidence a.md#b since it is", [("evidence", "a.md#b", False, "since it is", 0)]),
-        ("/**\n * Words.\n * @evidenceExclude x\n *   not now\n * @param q z\n * more\n */", [("evidenceExclude", "x", False, "not now", 2)]),
-        ("\n@evidence\n target\n reason goes\n on", [("evidence", "target", False, "reason goes\non", 1)]),
-        ("@evidence {@link A.b} r", [("evidence", "A.b", True, "r", 0)]),
-        ("@evidence {@linkcode A }r", [("evidence", "A", True, "r", 0)]),
-        ("@evidence {@link A b} r", [("evidence", "{@link", False, "A b} r", 0)]),
-        ("@evidence {@link } r", [("evidence", "{@link", False, "} r", 0)]),
-        ("@evidenceOther x y\nan @evidence in a line", []),
-        ("@evidence a b\n@param still the reason", [("evidence", "a", False, "b\n@param still the reason", 0)]),
+        ("@cite a.md#b since it is", [("cite", "a.md#b", False, "since it is", 0)]),
+        ("/**\n * Words.\n * @citeExclude x\n *   not now\n * @param q z\n * more\n */", [("citeExclude", "x", False, "not now", 2)]),
+        ("\n@cite\n target\n reason goes\n on", [("cite", "target", False, "reason goes\non", 1)]),
+        ("@cite {@link A.b} r", [("cite", "A.b", True, "r", 0)]),
+        ("@cite {@linkcode A }r", [("cite", "A", True, "r", 0)]),
+        ("@cite {@link A b} r", [("cite", "{@link", False, "A b} r", 0)]),
+        ("@cite {@link } r", [("cite", "{@link", False, "} r", 0)]),
+        ("@citeOther x y\nan @cite in a line", []),
+        ("@cite a b\n@param still the reason", [("cite", "a", False, "b\n@param still the reason", 0)]),
     ],
 )
 def test_tags(text, want):
@@ -47,7 +48,7 @@ def test_outline():
 
 
 def test_fences_and_comments_hide_headings():
-    text = "```\n# in fence\n<!-- @evidence a b -->\n````\n# out\n<!--\n# in comment\n@evidence c d\n-->\n~~~\n# unclosed\n"
+    text = "```\n# in fence\n<!-- @cite a b -->\n````\n# out\n<!--\n# in comment\n@cite c d\n-->\n~~~\n# unclosed\n"
     assert outline(text) == [("file", "", 1), ("h1", "out", 5)]
     found = markdown.scan("d.md", text)["declarations"]
     assert [(d["target"], d["hosts"], d["line"], d["seq"]) for d in found] == [("c", ["h1"], 8, 1)]
@@ -117,22 +118,62 @@ def test_imports_and_exports():
 
 
 def test_citations_and_hosts():
-    text = "/** @evidence a.md x */\nexport interface I {\n  /** @evidence b.md y */\n  p: 1;\n}\n/** @evidence c.md z */\nfunction hidden() {}\n/** @evidence d.md w */\nexport const { a } = s, run = () => {};\n"
+    text = "/** @cite a.md x */\nexport interface I {\n  /** @cite b.md y */\n  p: 1;\n}\n/** @cite c.md z */\nfunction hidden() {}\n/** @cite d.md w */\nexport const { a } = s, run = () => {};\n"
     assert [(d["target"], d["hosts"], d["line"]) for d in ts(text)["declarations"]] == [("a.md", ["type"], 1), ("b.md", ["property"], 3), ("c.md", [], 6), ("d.md", ["function", "property"], 8)]
 
 
-@given(st.lists(st.sampled_from(["export ", "const ", "a", "=", "{", "}", "(", ")", "<", ">", "=>", ":", ";", "\n", "class ", "interface ", "`", "${", "'", "/", "/**", "*/", "namespace ", ",", "[", "]", "type ", "import ", "from ", "*", "as "]), max_size=40))
+@example(["class ", "${"])
+@example(["enum "])
+@example(["import ", "*"])
+@example(["export ", "*", "as "])
+@example(["namespace ", "a", "."])
+@example(["const ", "{"])
+@settings(max_examples=1500, deadline=None)
+@given(st.lists(st.sampled_from(["export ", "enum ", "function ", "async ", "static ", "default ", "get ", "@", "#", "?", "!", ".", "...", "1", "declare ", "global ", "using ", "\\", "\u2028", "'x'", "const ", "a", "=", "{", "}", "(", ")", "<", ">", "=>", ":", ";", "\n", "class ", "interface ", "`", "${", "'", "/", "/**", "*/", "namespace ", ",", "[", "]", "type ", "import ", "from ", "*", "as "]), max_size=40))
 def test_any_text_is_scanned(parts):
     typescript.scan("a.ts", "".join(parts))
 
 
+@settings(max_examples=500, deadline=None)
+@given(st.text(max_size=60))
+def test_any_characters_are_scanned(text):
+    typescript.scan("a.ts", text)
+    markdown.scan("a.md", text)
+
+
+@pytest.mark.parametrize("text", ["export namespace a {" * 3000, "(" * 20_000, "export const a = " + "(" * 20_000 + ")" * 20_000, "export const " + "{a:" * 5000, "`${" * 5000, "export type A = " + "<" * 20_000, "class A { " * 3000, "/* /** " * 20_000, "export const a = f<" * 3000])
+def test_deep_texts_are_scanned(text):
+    typescript.scan("a.ts", text)
+
+
+def test_one_bad_file_is_a_problem_of_its_own(spark):
+    rows = [("a.ts", bytearray(b"export type A = 1")), ("b.ts", bytearray(b"\xff\xfe")), ("c.ts", None)]
+    files = spark.createDataFrame(rows, "path string, content binary")
+    got = {r.path: ([u.target for u in r.units], [(p.code, p.symbol) for p in r.problems]) for r in inventory.scan_typescript(files).collect()}
+    assert got == {"a.ts": (["A"], []), "b.ts": ([], [("ts_unreadable", "*")]), "c.ts": ([], [("ts_unreadable", "*")])}
+    assert [r.problems[0].code for r in inventory.scan_markdown(files.filter("path <> 'a.ts'")).collect()] == ["md_unreadable"] * 2
+
+
+def test_tag_names_are_a_parameter():
+    words = ("done", "won't")
+    assert [(t.tag, t.target) for t in tags.tags("@done a b\n@won't c d\n@cite e f", words)] == [("done", "a"), ("won't", "c")]
+    assert [d["tag"] for d in typescript.scan("a.ts", "/** @done a b */ export type A = 1; /** @cite x y */", words)["declarations"]] == ["done"]
+    assert [d["tag"] for d in markdown.scan("a.md", "<!-- @won't a b -->", words)["declarations"]] == ["won't"]
+
+
 def test_operations():
     doc = {"swagger": "2.0", "paths": {"/b": {"post": {}, "parameters": []}, "/a": {"get": {}, "additionalOperations": {"LINK": {}}}}}
     assert openapi.operations(doc) == [("GET", "/a"), ("LINK", "/a"), ("POST", "/b")]
     with pytest.raises(openapi.SourceError):
         openapi.operations({"paths": {"/a": {"get": {}, "additionalOperations": {"GET": {}}}}})
-    with pytest.raises(openapi.SourceError):
-        openapi.operations({"paths": {"a": {"get": {}}}})
+    for odd in ([], "x", {"/a": {"additionalOperations": [1]}}):
+        with pytest.raises(openapi.SourceError):
+            openapi.operations({"paths": odd})
+    assert openapi.operations({"paths": {1: {"get": {}}, "/a": None}}) == [("GET", "1")] and openapi.operations({"paths": None}) == []
+    paths = {"a": {"get": {}}, "/b c": {"get": {}}, "/c": {"additionalOperations": {"a b": {}, 1: {}}}}
+    row = openapi.scan("s.json", lambda: json.dumps({"openapi": "3.1.0", "paths": paths}).encode())
+    assert [p["code"] for p in row["problems"]] == ["swagger_bad_operation"] * 3 and [u["target"] for u in row["units"]] == ["1:/c"]
+    assert [p["code"] for p in openapi.scan("s.json", lambda: b"{")["problems"]] == ["swagger_normalize"]
 
 
 @pytest.mark.parametrize("data", [b"\xff", b"[1]", b'{"openapi": "4.0"}', b"{", b"x" * ((16 << 20) + 1)])

@@ -18,10 +18,6 @@ def test_slugs(spark):
 
 
 def test_tags(spark):
-    lines = ["@evidence a b", "@evidenceExclude\tx", "@evidence", "@evidenceX", "x @evidence"]
-    assert values(spark, lines, T.tag_of) == ["evidence", "evidenceExclude", "evidence", "", ""]
-    bodies = ["{@link A.b} r", "{@linkcode X }", "{@linkplain  Y}z", "{@link A b} r", "{@linkcode }", "plain r", "{@link A"]
-    assert values(spark, bodies, T.link_target) == [t if link else "" for t, link, _ in map(tags.body_of, bodies)]
     plain = ["a  b c ", " a", "a\nb", "a"]
     got = zip(values(spark, plain, T.tag_target), values(spark, plain, T.tag_reason))
     assert list(got) == [(t, r) for t, _, r in map(tags.body_of, plain)]
@@ -35,13 +31,5 @@ def test_addresses(spark):
     assert values(spark, parts, T.encoded_identity, "x array<string>") == [typescript.identity_id("", "", p).removeprefix("typescript:::") for p in parts]
     assert values(spark, ["./a", "././b\\c", "../d", "e"], T.plain_path) == ["a", "b/c", "../d", "e"]
     assert values(spark, ["@a/b/c/d", "x", "x/y"], T.package_name) == ["@a/b", "x", "x"]
-    assert values(spark, ["@a/b/c/d", "x", "x/y"], T.package_rest) == ["c/d", "", "y"]
     assert values(spark, ["a/foo.test.ts", "b", "c/.d"], T.base_name)[:2] == ["foo.test", "b"]
     assert values(spark, ["A.TS", "a.d.ts", "a.js", "x.mts"], T.is_module) == [True, True, False, True]
-
-
-def test_kinds_blanks_and_blocks(spark):
-    assert values(spark, [["h2", "file"], ["property", "type"]], T.kinds_listed, "x array<string>") == ["file, h2", "type, property"]
-    assert values(spark, ["a b", "a b", "ab", "a b"], T.has_blank) == [True, True, False, True]
-    assert [bool(x) for x in values(spark, ["/** */", "/** * \n * */", "/** x */"], T.written_content)] == [False, False, True]
-    assert values(spark, ["get", "a b", "x:y", "LINK"], T.sound_method) == [True, False, False, True]
