@@ -2,10 +2,14 @@
 
 A text is the weighted set of its shingles: SHINGLE lower-cased tokens without
 punctuation (all tokens of a shorter text). The weight is term frequency times
-inverse document frequency. Document frequencies cover the whole corpus and are
-kept in DF_SLOTS hashed slots, so the table that workers get has one size for
-any corpus; slots that shingles share overstate a frequency and so only level
-the weights.
+inverse document frequency, log(1 + 1 / share), share being the part of all
+texts with tokens that have the shingle, RARE at least: what is rarer weighs no
+more, at any size of the corpus. Shares come from a count-min sketch of the
+whole corpus, HASHES rows of DF_SLOTS, whose size is fixed. With L distinct
+shingles a text, a slot holds L / DF_SLOTS of the texts by collision, also at any
+size; while that is below RARE, the weight of a rare shingle is exact unless a
+common one meets it in every row (sf0.1: 0.35 % of the distinct shingles weigh over 1 % too little).
+Sketches are summed as a stream, so no task holds those of others.
 
 Sampling draws, for each of SAMPLES numbers, the shingle and quantised weight
 that minimise c / (y exp r) (improved consistent weighted sampling); two texts
@@ -17,9 +21,15 @@ Copies whose normal form is the same are linked without comparing. Of a band's
 members, the least id is the centre and each other member is compared with its
 centres, first with the least of them and with the others only where that left
 the two unconnected. Should members of a band then still be in several
-components, all their pairs across components are compared. So every pair of
-candidates is compared or connected through pairs that were, and no candidate
-is given up, while a band of thousands of copies costs one comparison each.
+components, each component's least member in the band leads those that are
+within RADIUS of it (weighted Jaccard distance, which is a metric); others lead
+themselves. Leaders of different components are compared, and members of two
+leaders only where the leaders' distance, less the farthest member of each,
+leaves room for a pair. So every pair of candidates is compared, connected
+through pairs that were, or known to be too far apart, and no candidate is given
+up, while a band of thousands of copies of a few texts costs a few comparisons
+each. A band of very many texts that are all unlike each other still costs the
+pairs of its leaders.
 A group is a connected component; its least id is kept.
 
 Defined cases: null, empty and token-free texts are in no group, nor are rows
@@ -34,6 +44,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -42,14 +53,18 @@ from .bytekernels import NONWORD, U64, chunks, column, gram_hashes, mix, owners,
 from .storage import checkpointed, free, small, written
 
 SHINGLE = 3
-DF_SLOTS = 1 << 20
-#: Slots that travel as one row while frequencies are summed.
-SLICE = 1 << 14
+DF_SLOTS, HASHES = 1 << 20, 2
+#: Share of the texts below which shingles weigh alike.
+RARE = 1e-3
+#: Slots that travel as one row while frequencies are summed, and tasks' rows that are summed first.
+SLICE, LANES = 1 << 16, 16
 #: Two texts at the threshold share a band with probability 0.96, at 0.6 with 0.997.
 ROWS, BANDS = 3, 24
 SAMPLES = ROWS * BANDS
 #: Weighted Jaccard similarity of near duplicates.
 THRESHOLD = 0.5
+#: Distance up to which a member follows a leader.
+RADIUS = 0.2
 DRAWS = 1 << 16
 
 _rng = np.random.default_rng(991)
@@ -57,6 +72,7 @@ _R = _rng.gamma(2, 1, DRAWS).astype(np.float32)
 _INVERSE_R = (1 / _R).astype(np.float32)
 _LOG_C = np.log(_rng.gamma(2, 1, DRAWS)).astype(np.float32)
 _BETA = _rng.random(DRAWS).astype(np.float32)
+_SLOT_KEYS = np.array([1, 0xC2B2AE3D27D4EB4F, 0xA0761D6478BD642F], U64)
 _KEYS = _rng.integers(1, 2**63, SAMPLES, dtype=np.uint64) | U64(1)
 #: Added to logarithms so that they are positive and order as their bits do.
 _LIFT = np.float32(256)
@@ -94,39 +110,64 @@ def shingles(data: np.ndarray, offs: np.ndarray, width: int = SHINGLE) -> tuple[
     return made[at], np.diff(np.append(at, len(made))), np.searchsorted(doc[at], np.arange(len(n) + 1)), whole
 
 
+def slot_numbers(made: np.ndarray) -> tuple[np.ndarray, ...]:
+    """A shingle's slot in each row of the sketch; rows stand one behind the other."""
+    return tuple(((made * (U64(1) if k == 0 else _SLOT_KEYS[k])) >> U64(44)).astype(np.int64) + k * DF_SLOTS for k in range(HASHES))
+
+
 def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
-    """(texts that have a shingle of the slot, for each slot; texts with shingles)."""
+    """(texts that have a shingle of the slot, for each slot of each row; texts with shingles)."""
+    names = ["part", "lane", "counts", "texts"]
+
+    def rows(part: int, lane: int, counts: np.ndarray, texts: int) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([lane], pa.int32()), pa.array([counts.astype("<i8").tobytes()], pa.binary()), pa.array([texts], pa.int64())], names)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slots = np.zeros(DF_SLOTS, np.int64)
+        slots = np.zeros(HASHES * DF_SLOTS, np.int32)
         texts = 0
         for b in batches:
             for _, _, data, offs in chunks(column(b, "_lowered")):
                 made, _, at, _ = shingles(data, offs)
-                slots += np.bincount((made >> U64(44)).astype(np.int64), minlength=DF_SLOTS)
+                for k, places in enumerate(slot_numbers(made)):
+                    slots[k * DF_SLOTS : (k + 1) * DF_SLOTS] += np.bincount(places - k * DF_SLOTS, minlength=DF_SLOTS).astype(np.int32)
                 texts += int((np.diff(at) > 0).sum())
         if texts:
-            parts = slots.astype("<i4").reshape(-1, SLICE)
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary()), pa.array([texts] * len(parts), pa.int64())], ["part", "counts", "texts"])
+            lane = TaskContext.get().partitionId() % LANES
+            for part, own in enumerate(slots.reshape(-1, SLICE)):
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([lane], pa.int32()), pa.array([own.astype("<i4").tobytes()], pa.binary()), pa.array([texts], pa.int64())], names)
 
-    def total(_: tuple, table: pa.Table) -> pa.Table:
-        counts = np.zeros(SLICE, np.int64)
-        for x in table.column("counts").to_pylist():
-            counts += np.frombuffer(x, "<i4")
-        return pa.table({"part": table.column("part").slice(0, 1), "counts": pa.array([counts.tobytes()], pa.binary()), "texts": pa.array([sum(table.column("texts").to_pylist())], pa.int64())})
-
-    schema = "part int, counts binary, texts long"
+    def total(batches: Iterator[pa.RecordBatch], kind: str) -> Iterator[pa.RecordBatch]:
+        held: dict[int, tuple[np.ndarray, int, int]] = {}
+        for b in batches:
+            for part, lane, counts, texts in zip(*(c.to_pylist() for c in b.columns)):
+                own, lane, have = held.get(part, (np.zeros(SLICE, np.int64), lane, 0))
+                own += np.frombuffer(counts, kind)
+                held[part] = own, lane, have + texts
+        for part, (own, lane, texts) in held.items():
+            yield rows(part, lane, own, texts)
+
+    schema = "part int, lane int, counts binary, texts long"
     lowered = docs.filter("doc_id is not null and text is not null").select(F.lower("text").alias("_lowered"))
-    rows = lowered.mapInArrow(tidy(count), schema).groupBy("part").applyInArrow(total, schema).collect()
-    slots = np.zeros(DF_SLOTS, np.int64)
-    for part, counts, _ in rows:
+    lanes = lowered.mapInArrow(tidy(count), schema).repartition("part", "lane").mapInArrow(lambda x: total(x, "<i4"), schema)
+    found = lanes.repartition("part").mapInArrow(lambda x: total(x, "<i8"), schema).collect()
+    slots = np.zeros(HASHES * DF_SLOTS, np.int64)
+    for part, _, counts, _ in found:
         slots[part * SLICE : (part + 1) * SLICE] = np.frombuffer(counts, np.int64)
-    return slots, max([0, *(r[2] for r in rows)])
+    return slots, max([0, *(r[3] for r in found)])
 
 
 def inverse_frequencies(slots: np.ndarray, texts: int) -> np.ndarray:
-    """log(1 + texts / frequency) of each slot."""
-    return np.log1p(texts / np.maximum(slots, 1)).astype(np.float32)
+    """log(1 + 1 / share) of each slot."""
+    return np.log1p(1 / np.maximum(slots / max(texts, 1), max(RARE, 1 / max(texts, 1)))).astype(np.float32)
+
+
+def weights(made: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """Inverse document frequency of shingles: that of the slot with the fewest texts."""
+    first, *more = slot_numbers(made)
+    out = idf[first]
+    for places in more:
+        out = np.maximum(out, idf[places])
+    return out
 
 
 def samples(made: np.ndarray, weight: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -169,7 +210,7 @@ def signatures(docs: DataFrame, idf: np.ndarray) -> DataFrame:
                 made, tf, at, whole = shingles(data, offs)
                 if not len(made):
                     continue
-                bands = band_keys(samples(made, tf * table[(made >> U64(44)).astype(np.int64)], at))
+                bands = band_keys(samples(made, tf * weights(made, table), at))
                 some = np.flatnonzero(np.diff(at))
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1) * BANDS, pa.int32()), pa.array(bands.ravel()))
                 # the form tells texts apart by all tokens and by all shingles with their frequencies
@@ -182,7 +223,7 @@ def signatures(docs: DataFrame, idf: np.ndarray) -> DataFrame:
 
 def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], idf: np.ndarray) -> float:
     """Weighted Jaccard similarity of two texts given as (shingles in order, frequencies)."""
-    wa, wb = a[1] * idf[(a[0] >> U64(44)).astype(np.int64)], b[1] * idf[(b[0] >> U64(44)).astype(np.int64)]
+    wa, wb = a[1] * weights(a[0], idf), b[1] * weights(b[0], idf)
     _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
     both = np.minimum(wa[i], wb[j]).sum(dtype=np.float64)
     return float(both / max(wa.sum(dtype=np.float64) + wb.sum(dtype=np.float64) - both, 1e-30))
@@ -240,6 +281,32 @@ def components(edges: DataFrame) -> DataFrame:
             return now.select(F.col("u").alias("id"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct())
 
 
+def _across(split: DataFrame, held: DataFrame, idf: np.ndarray, threshold: float, compared: DataFrame) -> DataFrame:
+    """The pairs of like members of different components (band, id, root) that share a band; compared (a, b) are known to be unlike."""
+    least = split.groupBy("band", "root").agg(F.min("id").alias("head"))
+    followers = split.join(least, ["band", "root"]).filter("id <> head")
+    near = checkpointed(verified(followers.select(F.col("head").alias("a"), F.col("id").alias("b")).distinct(), held, idf, 1 - RADIUS))
+    led = followers.join(near.select(F.col("a").alias("head"), F.col("b").alias("id"), (1 - F.col("similarity")).alias("far")), ["head", "id"], "left")
+    led = led.withColumn("head", F.when(F.col("far").isNull(), F.col("id")).otherwise(F.col("head"))).select("band", "root", "head", "id", F.coalesce("far", F.lit(0.0)).alias("far"))
+    led = checkpointed(led.unionByName(least.select("band", "root", "head", F.col("head").alias("id"), F.lit(0.0).alias("far"))))
+    heads = led.groupBy("band", "root", "head").agg(F.max("far").alias("reach"), F.count("*").alias("n"))
+    one = heads.select("band", F.col("head").alias("a"), F.col("root").alias("root_a"), F.col("reach").alias("reach_a"), F.col("n").alias("n_a"))
+    two = heads.select("band", F.col("head").alias("b"), F.col("root").alias("root_b"), F.col("reach").alias("reach_b"), F.col("n").alias("n_b"))
+    pairs = checkpointed(one.join(two, "band").filter("a < b and root_a <> root_b"))
+    alone = pairs.filter("n_a = 1 and n_b = 1").select("a", "b").distinct().join(compared, ["a", "b"], "left_anti")
+    led_pairs = pairs.filter("n_a > 1 or n_b > 1")
+    # the least similarity that still leaves room for a pair of followers
+    sims = checkpointed(verified(led_pairs.select("a", "b").distinct(), held, idf, threshold - 2 * RADIUS))
+    like = sims.filter(F.col("similarity") >= threshold)
+    # similarity - threshold >= -(reach_a + reach_b); leaders that are a pair connect their components
+    near_pairs = led_pairs.join(sims, ["a", "b"]).filter((F.col("similarity") < threshold) & (F.col("similarity") + F.col("reach_a") + F.col("reach_b") >= threshold))
+    sides = led.select("band", "head", "id")
+    members = near_pairs.select("band", "a", "b").join(sides.select("band", F.col("head").alias("a"), F.col("id").alias("x")), ["band", "a"]).join(sides.select("band", F.col("head").alias("b"), F.col("id").alias("y")), ["band", "b"])
+    inner = members.filter("x <> a or y <> b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    rest = alone.unionByName(inner.join(compared, ["a", "b"], "left_anti")).distinct()
+    return like.unionByName(verified(rest, held, idf, threshold))
+
+
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, kept_doc_id) of every document that isn't the kept one of its group."""
     slots, texts = document_frequencies(docs)
@@ -268,14 +335,12 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     if not rest.isEmpty():
         found = checkpointed(found.unionByName(verified(rest, held, idf, threshold)))
         roots = components(found)
-    # bands whose members are in several components: all pairs across them that haven't been compared
+    # bands whose members are in several components
     placed = crowded.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     mixed = placed.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("band")
     split = checkpointed(placed.join(mixed, "band", "left_semi").select("band", "id", "root"))
     if not split.isEmpty():
-        one, two = split.select("band", F.col("id").alias("a"), F.col("root").alias("root_a")), split.select("band", F.col("id").alias("b"), F.col("root").alias("root_b"))
-        across = one.join(two, "band").filter("a < b and root_a <> root_b").select("a", "b").distinct().join(star, ["a", "b"], "left_anti")
-        found = checkpointed(found.unionByName(verified(across, held, idf, threshold)))
+        found = checkpointed(found.unionByName(_across(split, held, idf, threshold, star)))
     groups = components(found.select("a", "b").unionByName(copies))
     return groups.filter("id <> root").select(F.col("id").alias("doc_id"), F.col("root").alias("kept_doc_id"))
 

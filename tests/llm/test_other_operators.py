@@ -3,6 +3,7 @@
 import gzip
 import io
 import zlib
+from collections import Counter
 from math import log
 
 import numpy as np
@@ -11,6 +12,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from plumbline.llm import ann, bpe, langid, neardup, warc
+from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -168,12 +170,9 @@ def corpus():
 
 def brute_similarities(texts):
     sets = [shingle_sets(t) for t in texts]
-    slots = np.zeros(neardup.DF_SLOTS, np.int64)
-    for s in sets:
-        for x in s:
-            slots[x >> 44] += 1
+    have = Counter(x for s in sets for x in s)  # exact, without slots
     n = sum(bool(s) for s in sets)
-    weighted = [{x: c * log(1 + n / slots[x >> 44]) for x, c in s.items()} for s in sets]
+    weighted = [{x: c * log(1 + 1 / max(have[x] / n, neardup.RARE)) for x, c in s.items()} for s in sets]
     out = {}
     for i, a in enumerate(weighted):
         for j in range(i):
@@ -211,6 +210,47 @@ def test_near_duplicates_against_brute_force(spark):
     assert kept == set(range(len(texts))) - set(got)
 
 
+def test_weights_against_exact_frequencies(spark):
+    table = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    slots, n = neardup.document_frequencies(table)
+    texts = pa.array([t.lower() for t in table.toPandas().text], pa.large_string())
+    made, have = np.unique(np.concatenate([neardup.shingles(d, o)[0] for _, _, d, o in neardup.chunks(texts)]), return_counts=True)
+    exact = np.log1p(1 / np.maximum(have / n, neardup.RARE))
+    got = neardup.weights(made, neardup.inverse_frequencies(slots, n))
+    assert (got <= exact + 1e-5).all() and np.mean(np.abs(got - exact) > 0.01 * exact) < 0.005
+    # as many texts again, of which none is like these: rare shingles keep their weight
+    assert neardup.inverse_frequencies(np.array([2]), 10**4) == neardup.inverse_frequencies(np.array([200]), 10**6) == np.float32(log(1001))
+
+
+def test_a_band_of_several_groups_is_compared_by_its_leaders(spark):
+    """Members of different components within a band: all pairs that are like are found, few are compared."""
+    rng = np.random.default_rng(6)
+    base = [[f"b{g}x{rng.integers(10**6)}" for _ in range(300)] for g in range(4)]
+    chain = base[0][:150] + [f"c{k}" for k in range(40)]
+    texts = [t for words in base for t in variants(rng, words, 30, 0.004)] + [" ".join(chain)] + [" ".join(f"z{rng.integers(10**6)}" for _ in range(50)) for _ in range(10)]
+    df = docs(spark, [(k, t, "en", "a", 1) for k, t in enumerate(texts)])
+    idf = neardup.inverse_frequencies(*neardup.document_frequencies(df))
+    similar = brute_similarities(texts)
+    group = groups_of([p for p, s in similar.items() if s >= 0.8], len(texts))
+    split = spark.createDataFrame([(7, k, group.get(k, k)) for k in range(len(texts))], "band long, id long, root long")
+    compared = []
+
+    def counting(pairs, *rest):
+        compared.append(pairs.count())
+        return real(pairs, *rest)
+
+    real, neardup.verified = neardup.verified, counting
+    try:
+        held = df.select("doc_id", F.lower("text").alias("_lowered"))
+        got = neardup._across(split, held, idf, 0.5, spark.createDataFrame([], "a long, b long")).collect()
+    finally:
+        neardup.verified = real
+    want = {p for p, s in similar.items() if s >= 0.5 and group.get(p[0], p[0]) != group.get(p[1], p[1])}
+    root = lambda extra: groups_of([*group.items(), *extra], len(texts))
+    assert root([(r.a, r.b) for r in got]) == root(want) and {(r.a, r.b) for r in got} <= want
+    assert sum(compared) < 1500 < len(texts) * (len(texts) - 1) // 4
+
+
 def test_samples_agree_as_often_as_the_similarity():
     rng = np.random.default_rng(8)
     made = np.sort(rng.integers(1, 2**63, 4000, dtype=np.uint64))
@@ -257,8 +297,11 @@ def test_held_out_accuracy_and_whole_texts(spark):
     assert (found >= 0).mean() > 0.99
     assert (names[found >= 0] == rest.lang.to_numpy()[found >= 0]).mean() > 0.95
     assert conf.max() <= 1
-    strange = model.judge(pa.array(["", "   ", "жук и лес", "你好", "0 0 0 ~~"], pa.large_string()))[0]
-    assert strange.tolist()[:4] == [-1] * 4
+    strange = ["", "   ", "жук и лес", "你好", "0 0 0 ~~", "1234 5678 90", "!!!! ???? ####", "123 456 789 " * 50, "asdkj qwpoe zmxnc", "qwrt zxcv bnmk lkjh " * 20]
+    assert (model.judge(pa.array(strange, pa.large_string()))[0] == -1).all()
+    mixed = np.random.default_rng(1)
+    junk = ["".join(mixed.permutation(list(t))) for t in rest.text[rest.text.str.len() > 100].str.lower()]
+    assert (model.judge(pa.array(junk, pa.large_string()))[0] == -1).mean() > 0.95
 
 
 @pytest.mark.parametrize("count", [2, 3, 4])
