@@ -1,7 +1,7 @@
 """Language identification with hashed subword embeddings.
 
 Subwords are byte 2-, 3- and 4-grams of the lower-cased text inside word
-boundaries, hashed to BUCKETS rows of an embedding table. A text is the average
+boundaries that hold a letter, hashed to BUCKETS rows of an embedding table. A text is the average
 of the embeddings of all its subwords; a linear layer and softmax give the
 languages. The embeddings start at zero and the output layer at random, so a
 subword never seen in training stays at zero and text without known subwords
@@ -23,8 +23,8 @@ As pooling and output layer are linear, a subword's share of the scores is
 embedding times output layer; workers get that table (BUCKETS x languages), of
 the same size for any input, and process whole texts.
 
-Defined cases: null or blank text, and text without known subwords, is
-rejected. Ties go to the language first in alphabetical order. A table without
+Defined cases: null or blank text, text without a letter, and text without
+known subwords, is rejected. Ties go to the language first in alphabetical order. A table without
 two labelled languages gives a constant model that accepts every text in which
 a subword is known (one language) or nothing (none). Rows may repeat: each is
 judged alone. Further columns are passed through by ``language_filter``, which
@@ -54,6 +54,8 @@ TAIL = 0.05
 #: Held-out texts are split by length into classes of CLASS at least, CLASSES at most.
 CLASS, CLASSES = 120, 4
 EPOCHS = 4
+#: Bytes of letters: ASCII ones, and all of characters beyond.
+_LETTER = np.array([65 <= c <= 90 or 97 <= c <= 122 or c >= 128 for c in range(256)])
 
 
 def subwords(data: np.ndarray, offs: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
@@ -70,6 +72,7 @@ def subwords(data: np.ndarray, offs: np.ndarray) -> tuple[list[np.ndarray], list
     framed = np.full(n + m + 1, 32, np.uint8)
     framed[place] = padded
     blank = framed == 32
+    letter = _LETTER[framed]
     firsts = offs + np.arange(m + 1)
     wide = framed.astype(U64)
     code = wide
@@ -81,8 +84,11 @@ def subwords(data: np.ndarray, offs: np.ndarray) -> tuple[list[np.ndarray], list
         if size <= 0:
             break
         ok = ~(blank[:size] & blank[k - 1 : k - 1 + size])
+        some = letter[:size] | letter[k - 1 : k - 1 + size]
         for j in range(1, k - 1):
             ok &= ~blank[j : j + size]
+            some |= letter[j : j + size]
+        ok &= some
         keep = np.flatnonzero(ok)
         ids.append(((code[keep] + U64(k)) * U64(0x9E3779B97F4A7C15) >> U64(48)).astype(np.int64) & (BUCKETS - 1))
         at.append(np.searchsorted(keep, firsts))
