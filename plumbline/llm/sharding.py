@@ -32,6 +32,8 @@ SHARDS = 64
 SEED = 17
 #: Rows that a cell should hold.
 CELL = 100_000
+#: Rows that a task writes.
+TASK = 5_000
 
 
 def _celled(keyed: DataFrame, cell: int) -> DataFrame:
@@ -50,7 +52,7 @@ def _celled(keyed: DataFrame, cell: int) -> DataFrame:
     while True:
         out = out.withColumn("cell", F.expr("substring(key, 1, digits)"))
         crowded = out.groupBy("source", "cell").agg(F.count("*").alias("n"), F.min("key").alias("lo"), F.max("key").alias("hi")).filter(F.col("n") > 4 * cell)
-        alike = F.size(F.filter(F.sequence(F.lit(1), F.lit(64)), lambda k: F.col("lo").substr(F.lit(1), k) == F.col("hi").substr(F.lit(1), k)))
+        alike = F.size(F.filter(F.sequence(F.lit(1), F.length("lo")), lambda k: F.col("lo").substr(F.lit(1), k) == F.col("hi").substr(F.lit(1), k)))
         crowded = checkpointed(crowded.select(F.col("source").alias("_source"), F.col("cell").alias("_cell"), (alike + F.greatest(digits(F.col("n")), F.lit(1))).alias("_digits")))
         if crowded.isEmpty():
             return out.drop("digits")
@@ -62,7 +64,7 @@ def _places(numbered: DataFrame, shards: int, seed: int, cell: int) -> DataFrame
     """(doc_id, source, row, shard, position, rank) of rows of (doc_id, source, row)."""
     text = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     # the second half only splits cells that one id would fill
-    keyed = numbered.withColumn("key", F.concat(F.md5(F.concat(F.lit(f"{seed}:"), text)), F.md5(F.col("row").cast("string"))))
+    keyed = numbered.withColumn("key", F.concat(F.md5(F.concat(F.lit(f"{seed}:"), text)), F.lpad(F.hex(F.xxhash64("row")), 16, "0")))
     keyed = written(keyed, "keys")
     sizes = checkpointed(keyed.groupBy("source").agg(F.count("*").alias("n")))
     total = sizes.agg(F.sum("n")).first()[0] or 0
@@ -95,9 +97,9 @@ def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, seed: int = S
     row, shard, position, rank = (free(c, docs.columns) for c in ("_row", "_shard", "_position", "_rank"))
     numbered = stable(docs).withColumn(row, F.monotonically_increasing_id())
     places = _places(numbered.select("doc_id", "source", F.col(row).alias("row")), shards, seed, cell)
-    places = places.select(F.col("row").alias(row), F.col("shard").alias(shard), F.col("position").alias(position), F.floor(F.col("rank") / cell).alias(rank))
+    places = places.select(F.col("row").alias(row), F.col("shard").alias(shard), F.col("position").alias(position), F.floor(F.col("rank") / TASK).alias(rank))
     joined = numbered.join(places, row).drop(row)
-    joined.repartition(rank).sortWithinPartitions(shard, position).drop(rank).write.partitionBy(shard).parquet(path)
+    joined.repartition(rank).sortWithinPartitions(shard, position).drop(rank).write.option("compression", "zstd").partitionBy(shard).parquet(path)
     return shard, position
 
 
