@@ -14,7 +14,13 @@ anchor, carrying the token hashes they cover; the other passes run on the
 partition of the anchor, rows in (anchor, doc_id, position) order, in batches
 of bounded size: an anchor that is open at the end of a batch leaves one
 suffix of each group behind, so an anchor with any number of copies needs the
-memory of its distinct windows only.
+memory of its distinct windows only. Suffixes of an anchor with more than HOT
+runs would all meet in one task; they are spread by all their digits at once,
+and first occurrences are found by an aggregate that is combined before it is
+shuffled.
+
+A token is told by 32 of its hash's bits (64 within the anchor), so windows that
+differ in one token alone pass for equal with probability 2**-32.
 
 The first occurrence of a window, by (doc_id, position), stays; every other one
 is marked. A span is a maximal stretch covered by marked windows that overlap
@@ -47,6 +53,8 @@ DEPTH = 50
 DIGIT = 10
 #: Suffixes sorted at once.
 BATCH = 1 << 19
+#: Runs of an anchor that one task sorts.
+HOT = 200_000
 
 
 def _anchors(codes: np.ndarray, bounds: np.ndarray, depth: int, digit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -238,15 +246,36 @@ def marked_stretches(runs: DataFrame, depth: int, digit: int) -> DataFrame:
     return placed.mapInArrow(tidy(run), "doc_id long, lo long, hi long, first_doc_id long")
 
 
-def repeated_spans(docs: DataFrame, depth: int = DEPTH, digit: int = DIGIT) -> DataFrame:
+def hot_stretches(runs: DataFrame, depth: int, digit: int) -> DataFrame:
+    """The same for anchors of any number of runs, a row a window: windows are grouped by a hash of all their digits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(0, b.num_rows, 4096):
+                part = b.slice(k, 4096)
+                anchor, doc = np.asarray(part.column(0)), np.asarray(part.column(1))
+                pos, shift = np.asarray(part.column(2)).astype(np.int64), np.asarray(part.column(3)).astype(np.int64)
+                digits, _, docs, places = _expand(anchor, doc, pos, shift, part.column(4).to_pylist(), depth, digit)
+                one, two = np.zeros(len(docs), U64), np.full(len(docs), 0x9E3779B97F4A7C15, U64)
+                for j in range(digits.shape[1]):
+                    one, two = mix(one ^ digits[:, j]), mix(two + digits[:, j] * U64(0xD6E8FEB86659FD93))
+                yield pa.RecordBatch.from_arrays([pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(docs), pa.array(places)], ["one", "two", "doc_id", "pos"])
+
+    windows = written(runs.mapInArrow(tidy(run), "one long, two long, doc_id long, pos long"), "windows")
+    first = windows.groupBy("one", "two").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count("*").alias("n")).filter("n > 1")
+    later = windows.join(first, ["one", "two"]).filter("doc_id <> first.doc_id or pos <> first.pos")
+    return later.select("doc_id", F.col("pos").alias("lo"), F.col("pos").alias("hi"), F.col("first.doc_id").alias("first_doc_id"))
+
+
+def repeated_spans(docs: DataFrame, depth: int = DEPTH, digit: int = DIGIT, hot: int = HOT) -> DataFrame:
     """(doc_id, start_token, end_token, first_doc_id): spans covered by windows that occurred before.
 
     end_token is exclusive; first_doc_id is the least document in which one of
     the span's windows occurs first.
     """
     found = written(anchors(docs, depth, digit), "anchors")
-    shared = found.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor")
-    lists = found.join(shared, "anchor").groupBy("doc_id").agg(F.array_sort(F.collect_set("anchor")).alias("a"))
+    counts = checkpointed(found.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1"))
+    lists = found.join(counts.select("anchor"), "anchor").groupBy("doc_id").agg(F.array_sort(F.collect_set("anchor")).alias("a"))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -258,7 +287,12 @@ def repeated_spans(docs: DataFrame, depth: int = DEPTH, digit: int = DIGIT) -> D
     packed = lists.mapInArrow(tidy(pack), "doc_id long, _anchors binary")
     texts = docs.filter("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("_text"))
     runs = _suffix_runs(texts.join(packed, "doc_id"), depth, digit)
-    marks = marked_stretches(runs, depth, digit)
+    crowds = counts.filter(F.col("n") > hot).select("anchor")
+    if crowds.isEmpty():
+        marks = marked_stretches(runs, depth, digit)
+    else:
+        runs, crowds = written(runs, "runs"), small(crowds)
+        marks = marked_stretches(runs.join(crowds, "anchor", "left_anti"), depth, digit).unionByName(hot_stretches(runs.join(crowds, "anchor", "left_semi"), depth, digit))
     line = W.partitionBy("doc_id").orderBy("lo", "hi")
     before = F.max("hi").over(line.rowsBetween(W.unboundedPreceding, -1))
     islands = marks.withColumn("_new", F.when(before.isNull() | (F.col("lo") > before + depth), 1).otherwise(0)).withColumn("_island", F.sum("_new").over(line.rowsBetween(W.unboundedPreceding, 0)))

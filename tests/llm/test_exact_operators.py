@@ -141,8 +141,9 @@ def test_spans_match_brute_force(spark, depth, digit, words):
     texts += [texts[3] + " " + texts[5], texts[7], "w0 " * 40]
     rows = [(k, t) for k, t in enumerate(texts)] + [(None, texts[3]), (99, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    got = suffix.repeated_spans(df, depth, digit).select("doc_id", "start_token", "end_token", "first_doc_id").collect()
-    assert sorted(map(tuple, got)) == brute_spans(rows, depth)
+    for hot in (suffix.HOT, 3, 0):  # no anchor, some, and all are spread
+        got = suffix.repeated_spans(df, depth, digit, hot).select("doc_id", "start_token", "end_token", "first_doc_id").collect()
+        assert sorted(map(tuple, got)) == brute_spans(rows, depth)
 
 
 def test_suffix_batches_carry_open_groups(spark):
