@@ -23,22 +23,28 @@ def ancestor_closure(units: DataFrame, *keys: str) -> DataFrame:
     known = units.select(*keys, "id")
     steps = units.filter("parent_id is not null").select(*keys, "id", F.col("parent_id").alias("scope_id"))
     steps = steps.join(known.withColumnRenamed("id", "scope_id"), [*keys, "scope_id"], "left_semi")
-    reach, jump, span, size = steps.select(*keys, "id", "scope_id", F.lit(1).alias("depth")), steps, 1, -1
+    reach, span, size = steps.select(*keys, "id", "scope_id", F.lit(1).alias("depth")), 1, -1
+    jump = reach
     while True:
-        if span >= 2:
-            jump, reach = cut(jump), cut(reach)
-            if jump.isEmpty():
-                break
+        via = jump.select(*keys, F.col("scope_id").alias("_next"), F.col("id").alias("scope_id"))
+        longer = reach.join(via, [*keys, "scope_id"]).select(*keys, "id", F.col("_next").alias("scope_id"), (F.col("depth") + span).alias("depth"))
+        # in a walk without end a pair comes again with more steps; jumps are kept apart from the least
+        jump = longer.filter(F.col("depth") == 2 * span)
+        reach = reach.unionByName(longer)
+        span *= 2
+        if span < 4:
+            continue
         if span > _LONG:
+            jump = cut(jump)
+            reach = cut(reach.groupBy(*keys, "id", "scope_id").agg(F.min("depth").alias("depth")))
             before, size = size, reach.count()
-            if size == before:
+            if jump.isEmpty() or size == before:
+                break
+        else:
+            reach = cut(reach)
+            jump = reach.filter(F.col("depth") == span)
+            if jump.isEmpty():
                 break
-        via = jump.select(*keys, F.col("scope_id").alias("_next"), F.col("id").alias("scope_id"))
-        reach = reach.unionByName(reach.join(via, [*keys, "scope_id"]).select(*keys, "id", F.col("_next").alias("scope_id"), (F.col("depth") + span).alias("depth")))
-        if span >= _LONG:
-            reach = reach.groupBy(*keys, "id", "scope_id").agg(F.min("depth").alias("depth"))
-        jump = jump.join(via, [*keys, "scope_id"]).select(*keys, "id", F.col("_next").alias("scope_id"))
-        span *= 2
     return known.select(*keys, "id", F.col("id").alias("scope_id"), F.lit(0).alias("depth")).unionByName(reach.filter("id <> scope_id"))
 
 

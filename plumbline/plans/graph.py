@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline import model
-from plumbline.config import ConfigError, GraphConfig, decode_graph
+from plumbline.config import Claim, ConfigError, GraphConfig, Reference, decode_graph
 from plumbline.functions.globs import GlobSet, glob_table, members
 from plumbline.functions.lineage import cut
 from plumbline.functions.text import is_module, location, plain_path, redacted, starts_with
@@ -70,6 +70,10 @@ def _say(*parts: str | Column) -> Column:
     return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
 
 
+def _literal(value: str | tuple[str, ...]) -> Column:
+    return F.lit(value) if isinstance(value, str) else F.array(*map(F.lit, value))
+
+
 class _Build:
     def __init__(self, spark: SparkSession, files: DataFrame, config: GraphConfig, program: GlobSet | None, fetch: Callable[[str], bytes], words: tuple[str, str]) -> None:
         self.spark, self.config, self.words = spark, config, words
@@ -81,14 +85,24 @@ class _Build:
         self.problems: list[DataFrame] = []
         self.label = F.concat_ws(" ", "claim_label", "ref_label")
 
+    def _of_claim(self, value: Callable[[Claim], str | tuple[str, ...]]) -> Column:
+        """What the configuration says of the claim of a row: a configuration is small, so it is part of the plan and needs no join."""
+        return F.create_map(*[x for c in self.config.claims for x in (F.lit(c.index), _literal(value(c)))])[F.col("claim_idx")]
+
+    def _of_reference(self, value: Callable[[Reference], str | tuple[str, ...]]) -> Column:
+        pairs = [x for c, r in self.config.references() for x in (F.lit(f"{c.index},{r.index}"), _literal(value(r)))]
+        return F.create_map(*pairs)[F.concat_ws(",", "claim_idx", "ref_idx")]
+
     def _labelled(self, rows: DataFrame) -> DataFrame:
         """rows with the labels of their claim and, if they have one, reference."""
-        c = self.claims.select("claim_idx", F.col("label").alias("claim_label"), F.col("artifact").alias("claim_artifact"), "host_symbols")
-        rows = rows.join(F.broadcast(c), "claim_idx")
+        more = {"claim_label": self._of_claim(lambda c: c.label), "claim_artifact": self._of_claim(lambda c: c.artifact), "host_symbols": self._of_claim(lambda c: c.symbols)}
         if "ref_idx" in rows.columns:
-            r = self.references.select(*CR, F.col("label").alias("ref_label"), F.col("artifact").alias("ref_artifact"))
-            rows = rows.join(F.broadcast(r), CR)
-        return rows
+            more |= {"ref_label": self._of_reference(lambda r: r.label), "ref_artifact": self._of_reference(lambda r: r.artifact)}
+        return rows.withColumns(more)
+
+    def _selected(self, rows: DataFrame) -> DataFrame:
+        """The rows whose symbol their reference selects; '*' is any."""
+        return rows.filter((F.col("symbol") == "*") | F.array_contains(self._of_reference(lambda r: r.symbols), F.col("symbol")))
 
     def _program_paths(self) -> DataFrame:
         """(path) of the modules that make up the program."""
@@ -98,10 +112,10 @@ class _Build:
     def claim_paths(self) -> DataFrame:
         """(claim_idx, path)"""
         paths = self.scan.select("path", "artifact").filter(F.col("artifact") == model.MARKDOWN).unionByName(self._program_paths().withColumn("artifact", F.lit(model.TYPESCRIPT)))
-        self.program_and_docs = paths = cut(paths)
+        self.program_and_docs = paths
         globs = glob_table(self.spark, {str(c.index): c.globs for c in self.config.claims})
         hit = members(paths, globs, F.col("path")).withColumn("claim_idx", F.col("owner").cast("int"))
-        found = cut(hit.join(self.claims.select("claim_idx", "artifact"), ["claim_idx", "artifact"]).select("claim_idx", "path"))
+        found = hit.join(F.broadcast(self.claims.select("claim_idx", "artifact")), ["claim_idx", "artifact"]).select("claim_idx", "path")
         empty = self._labelled(self.claims.select("claim_idx").join(found, "claim_idx", "left_anti"))
         self.problems.append(_problem(empty, "claim_no_files", _say(F.col("claim_label"), " has no files"), F.col("claim_idx")))
         return found
@@ -139,9 +153,8 @@ class _Build:
         """(units with their addresses, scopes with the units below them) of every reference."""
         paths = self.reference_paths()
         held = paths.join(self.units.withColumnRenamed("path", "shown"), paths["path"] == F.col("file")).drop("file")
-        kinds = self.references.select(*CR, F.col("symbols").alias("kinds"))
         held = cut(held.dropDuplicates([*CR, "id"]))
-        chosen = held.join(kinds, CR).filter("array_contains(kinds, symbol)").drop("kinds")
+        chosen = self._selected(held)
         closed = ancestor_closure(held.select(*CR, "id", "parent_id"), *CR)
         scopes = closed.join(chosen.select(*CR, "id"), [*CR, "id"]).select(*CR, "scope_id", F.col("id").alias("unit_id"), F.lit(0).alias("turn"))
         addressed = held.join(scopes.select(*CR, F.col("scope_id").alias("id")).distinct(), [*CR, "id"], "left_semi").withColumn("owner", F.col("path"))
@@ -149,7 +162,8 @@ class _Build:
         none = by_globs.join(paths, CR, "left_anti")
         lost = _problem(self._labelled(none.select(*CR)), "ref_no_files", _say(self.label, " has no files"), F.col("claim_idx"), F.col("ref_idx"))
         self.problems.append(self._of_packages(lost))
-        flawed = paths.join(flat(self.scan, "problems"), paths["path"] == F.col("file")).join(kinds, CR).filter("symbol = '*' or array_contains(kinds, symbol)").select(*CR).distinct()
+        flawed = paths.join(flat(self.scan, "problems"), paths["path"] == F.col("file"))
+        flawed = self._selected(flawed).select(*CR).distinct()
         hollow = paths.groupBy(*CR).agg(F.count("*").alias("n")).join(chosen.select(*CR).distinct(), CR, "left_anti").join(flawed, CR, "left_anti")
         hollow = _problem(self._labelled(hollow), "ref_no_units", _say(self.label, " has ", F.col("n").cast("string"), " file(s) without a selected unit"), F.col("claim_idx"), F.col("ref_idx"))
         self.problems.append(self._of_packages(hollow))
@@ -159,7 +173,7 @@ class _Build:
             more, more_scopes, entries = self.entries()
             chosen, scopes, addressed = chosen.unionByName(more, True), scopes.unionByName(more_scopes), addressed.unionByName(more, True)
             self.paths = paths.unionByName(entries)
-        self.addressed = cut(addressed)
+        self.addressed = addressed
         return cut(chosen), cut(scopes)
 
     def _of_packages(self, problems: DataFrame) -> DataFrame:
@@ -210,8 +224,7 @@ class _Build:
         )
         target = F.array_join("_first.full", ".")
         units = per.select(*CR, F.col("entry").alias("owner"), "id", "_u.*", target.alias("target"), F.col("_first.full").alias("identity"), F.array_except("_all", F.array(target)).alias("aliases"))
-        kinds = self.references.select(*CR, F.col("symbols").alias("kinds"))
-        units = cut(units.join(kinds, CR).filter("array_contains(kinds, symbol)").drop("kinds"))
+        units = cut(self._selected(units))
         hollow = found.join(units.select(*CR).distinct(), CR, "left_anti")
         self.problems.append(_problem(self._labelled(hollow), "entry_no_units", _say(self.label, ": entry '", F.col("entry"), "' leads to no selected unit"), F.col("claim_idx"), F.col("ref_idx")))
         inner = units.select(*CR, F.col("id").alias("unit_id"), F.explode(F.expr("case when size(identity) > 1 then transform(sequence(1, size(identity) - 1), n -> slice(identity, 1, n)) end")).alias("above"))
@@ -225,7 +238,7 @@ class _Build:
         d = declared.dropDuplicates(["id"]).withColumnRenamed("id", "decl_id")
         sound = (F.col("target") != "") & (F.col("reason") != "")
         self.problems.append(_problem(d.filter(~sound), "malformed", _say("@", F.col("tag"), " at ", where, " lacks a target or a reason"), path=F.col("path"), line=F.col("line")))
-        d = cut(d.filter(sound))
+        d = d.filter(sound)
         a = self.addressed
         every = F.explode(F.concat(F.array("target"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("address")
         unit_place = location(F.coalesce("shown", "path"), F.col("line"))
@@ -246,7 +259,7 @@ class _Build:
         self.problems.append(_problem(lost, "unresolved", _say("'", F.col("target"), "' at ", where, " is no known unit"), path=F.col("path"), line=F.col("line")))
         self.problems.append(_problem(many, "ambiguous", _say("'", F.col("target"), "' at ", where, " could be ", F.col("matches")), path=F.col("path"), line=F.col("line")))
         good = counted.filter("n = 1").select("decl_id", F.col("unit").alias("scope_id"))
-        return cut(good.unionByName(links))
+        return good.unionByName(links)
 
     def links(self, d: DataFrame, targets: DataFrame, where: Column) -> DataFrame:
         """Inline links, through the imports of the file that holds them; the first step that fails is told."""
@@ -282,15 +295,13 @@ class _Build:
         chosen, scopes = self.populations()
         resolved = self.resolve(claim_decl.drop("claim_idx"))
         active = chosen.select(*CR).distinct().join(claim_paths.select("claim_idx").distinct(), "claim_idx", "left_semi")
-        hosts = self.claims.select("claim_idx", "host_symbols")
-        cover = claim_decl.select("claim_idx", F.col("id").alias("decl_id"), "tag", F.col("target").alias("cited"), "hosts", "path", "line", "seq").join(resolved, "decl_id").join(F.broadcast(hosts), "claim_idx")
+        cover = claim_decl.select("claim_idx", F.col("id").alias("decl_id"), "tag", F.col("target").alias("cited"), "hosts", "path", "line", "seq").join(resolved, "decl_id").withColumn("host_symbols", self._of_claim(lambda c: c.symbols))
         cover = coverage.expand(cover, scopes, ["claim_idx", "scope_id"])
         inside, outside = coverage.out_of_scope(cut(cover), F.col("hosts"), F.col("host_symbols"))
         where = location(F.col("path"), F.col("line"))
         host = F.when(F.size("hosts") > 0, F.array_join("hosts", ", ")).otherwise("none")
         stray = self._labelled(outside.select("claim_idx", "tag", "path", "line", "hosts").distinct())
         self.problems.append(_problem(stray, "out_of_scope", _say("@", F.col("tag"), " at ", where, " isn't on a host that ", F.col("claim_label"), " selects: ", host, " is none of ", F.array_join("host_symbols", ", ")), F.col("claim_idx"), path=F.col("path"), line=F.col("line")))
-        inside = cut(inside)
         unit_keys, order = [*CR, "unit_id"], ["path", "seq", "decl_id"]
         ack = cut(coverage.first_of(inside, unit_keys, order, ["tag", "line"]))
         about = chosen.select(*CR, F.col("id").alias("unit_id"), F.col("target"), "symbol", F.col("artifact").alias("unit_artifact"), F.coalesce("shown", "path").alias("unit_path"), F.col("line").alias("unit_line"), "readable")
@@ -298,7 +309,7 @@ class _Build:
         overlaps = later.groupBy(*CR, "decl_id", "path", "line", "cited").agg(F.min(F.struct("turn", "target", "unit_id", "first_path", "first_line")).alias("_o")).select("*", "_o.target", "_o.first_path", "_o.first_line")
         first_place = location(F.col("first_path"), F.col("first_line"))
         self.problems.append(_problem(self._labelled(overlaps), "duplicate", _say("'", F.col("target"), "' in ", self.label, " is acknowledged again at ", where, " by '", F.col("cited"), "', first at ", first_place), F.col("claim_idx"), F.col("ref_idx"), F.col("path"), F.col("line")))
-        missing = cut(coverage.missing(about.join(active, CR, "left_semi"), ack, unit_keys))
+        missing = coverage.missing(about.join(active, CR, "left_semi"), ack, unit_keys)
         both_ts = (F.col("unit_artifact") == model.TYPESCRIPT) & (F.col("claim_artifact") == model.TYPESCRIPT)
         form = F.when(both_ts, _say("{@link ", F.col("target"), "}")).otherwise(F.col("target"))
         self.problems.append(_problem(self._labelled(missing), "missing", _say("'", F.col("target"), "' (", F.col("readable"), " at ", location(F.col("unit_path"), F.col("unit_line")), ") isn't acknowledged in ", self.label, f": cite '@{self.words[0]} ", form, f" <reason>', or '@{self.words[1]} ", form, " <reason>'"), F.col("claim_idx"), F.col("ref_idx"), F.col("unit_path"), F.col("unit_line")))
@@ -320,9 +331,8 @@ class _Build:
             states = completeness(asked, self.scan.filter(F.col("artifact") == model.OPENAPI).select("path"), "path")
             for status, code, text in (("no result", "swagger_no_result", "gave no result"), ("repeated", "swagger_repeated", "gave several results"), ("not configured", "swagger_unconfigured", "gave a result that no reference asks for")):
                 self.problems.append(_problem(states.filter(F.col("status") == status), code, _say("API description '", redacted(F.col("path")), f"' {text}"), path=redacted(F.col("path"))))
-        kinds = self.references.filter(F.col("artifact") == model.MARKDOWN).select(*CR, F.col("symbols").alias("kinds"))
-        wanted = self.paths.join(kinds, CR).select(F.col("path").alias("file"), "kinds")
-        md = flaws.filter(F.col("artifact") == model.MARKDOWN).join(wanted, "file").filter("symbol = '*' or array_contains(kinds, symbol)")
+        wanted = self.paths.select(*CR, F.col("path").alias("file"))
+        md = self._selected(flaws.filter(F.col("artifact") == model.MARKDOWN).join(wanted, "file"))
         self.problems.append(self._coded(md))
         read = self.claimed.select("path").unionByName(self.paths.select("path")).select(F.col("path").alias("file")).distinct()
         broken = flaws.filter(F.col("code").isin("md_unreadable", "ts_unreadable")).join(read, "file", "left_semi")
@@ -330,7 +340,7 @@ class _Build:
 
     @staticmethod
     def _coded(flaws: DataFrame) -> DataFrame:
-        return flaws.select("code", *[F.lit(None).cast("int").alias(c) for c in CR], F.col("file").alias("path"), F.lit(None).cast("int").alias("line"), "message")
+        return flaws.select(F.col("code"), *[F.lit(None).cast("int").alias(c) for c in CR], F.col("file").alias("path"), F.lit(None).cast("int").alias("line"), "message")
 
 
 def check_files(spark: SparkSession, files: DataFrame, config: GraphConfig | dict | str, program: list[str] | None = None, fetch: Callable[[str], bytes] = openapi.fetch, words: tuple[str, str] = model.TAGS) -> Graph:

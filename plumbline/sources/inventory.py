@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from plumbline import model
 from plumbline.config import GraphConfig
 from plumbline.functions.globs import GlobSet, selected
-from plumbline.functions.lineage import cut
+from plumbline.functions.lineage import stored
 from plumbline.functions.text import is_module, package_name
 from plumbline.sources import markdown, openapi, typescript
 
@@ -184,14 +184,14 @@ def project_scan(spark: SparkSession, files: DataFrame, config: GraphConfig, pro
         parts.append(scan_openapi(asked.join(files, "path", "left").select("path", "content"), fetch))
     if any(c.artifact == model.TYPESCRIPT for c in config.claims) or config.references(model.TYPESCRIPT):
         own = files.filter(in_program(F.col("path")))
-        scans = [cut(scan_typescript(own, words))]
         done: set[str] = set()
         todo = {r.package for _, r in config.references(model.TYPESCRIPT) if r.package}
+        scans = [stored(scan_typescript(own, words)) if todo else scan_typescript(own, words)]
         while todo:
             done |= todo
             package = package_name(F.regexp_replace("path", "^node_modules/", ""))
             inner = files.filter(F.col("path").startswith("node_modules/") & is_module(F.col("path")) & package.isin(sorted(todo)) & ~F.substring("path", 14, 1 << 30).contains("/node_modules/"))
-            scans.append(cut(scan_typescript(inner, words)))
+            scans.append(stored(scan_typescript(inner, words)))
             bare = scans[-1].select(F.explode("exports.specifier").alias("s")).filter("s is not null and not s like './%' and not s like '../%' and not s like '/%'")
             todo = {r[0] for r in bare.select(package_name(F.col("s"))).distinct().collect()} - done
         parts += scans
@@ -200,7 +200,7 @@ def project_scan(spark: SparkSession, files: DataFrame, config: GraphConfig, pro
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return cut(out)
+    return stored(out)
 
 
 def flat(scan: DataFrame, column: str, *keep: str) -> DataFrame:
