@@ -117,7 +117,7 @@ class _Build:
         hit = members(paths, globs, F.col("path")).withColumn("claim_idx", F.col("owner").cast("int"))
         found = hit.join(F.broadcast(self.claims.select("claim_idx", "artifact")), ["claim_idx", "artifact"]).select("claim_idx", "path")
         empty = self._labelled(self.claims.select("claim_idx").join(found, "claim_idx", "left_anti"))
-        self.problems.append(_problem(empty, "claim_no_files", _say(F.col("claim_label"), " has no files"), F.col("claim_idx")))
+        self.problems.append(_problem(empty, "claim_no_files", _say(F.col("claim_label"), " has no files that match ", self._of_claim(lambda c: ", ".join(c.patterns))), F.col("claim_idx")))
         return found
 
     def reference_paths(self) -> DataFrame:
@@ -160,7 +160,7 @@ class _Build:
         addressed = held.join(scopes.select(*CR, F.col("scope_id").alias("id")).distinct(), [*CR, "id"], "left_semi").withColumn("owner", F.col("path"))
         by_globs = self.references.filter("not by_entry")
         none = by_globs.join(paths, CR, "left_anti")
-        lost = _problem(self._labelled(none.select(*CR)), "ref_no_files", _say(self.label, " has no files"), F.col("claim_idx"), F.col("ref_idx"))
+        lost = _problem(self._labelled(none.select(*CR)), "ref_no_files", _say(self.label, " has no files", self._of_reference(lambda r: f" that match {', '.join(r.patterns)}" if r.patterns else "")), F.col("claim_idx"), F.col("ref_idx"))
         self.problems.append(self._of_packages(lost))
         flawed = paths.join(flat(self.scan, "problems"), paths["path"] == F.col("file"))
         flawed = self._selected(flawed).select(*CR).distinct()
