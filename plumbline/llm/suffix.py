@@ -53,6 +53,8 @@ DEPTH = 50
 DIGIT = 10
 #: Suffixes sorted at once.
 BATCH = 1 << 19
+#: Tokens that travel in one batch.
+PAYLOAD = 1 << 26
 #: Runs of an anchor that one task sorts.
 HOT = 200_000
 
@@ -122,21 +124,25 @@ def _suffix_runs(docs: DataFrame, depth: int, digit: int) -> DataFrame:
                 first, end, doc = first[wanted], end[wanted], doc[wanted]
                 if not len(first):
                     continue
-                begin, count = starts[first], end - first
-                length = count + depth - 1
-                off = np.concatenate([[0], np.cumsum(length)])
-                index = np.arange(off[-1]) - np.repeat(off[:-1], length) + np.repeat(begin, length)
-                payload = (codes[index] >> U64(32)).astype(np.uint32)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(least[first].view(np.int64)),
-                        ids.take(pa.array(doc + lo)),
-                        pa.array((begin - bounds[doc]).astype(np.int32)),
-                        pa.array((at[first] - begin).astype(np.int32)),
-                        binary(off * 4, payload),
-                    ],
-                    ["anchor", "doc_id", "pos", "shift", "tokens"],
-                )
+                length = end - first + depth - 1
+                # Arrow's offsets are 32 bits wide: a very long text gives several batches
+                part = np.cumsum(length) // PAYLOAD
+                for k in np.unique(part):
+                    one, own, size = first[part == k], doc[part == k], length[part == k]
+                    begin = starts[one]
+                    off = np.concatenate([[0], np.cumsum(size)])
+                    index = np.arange(off[-1]) - np.repeat(off[:-1], size) + np.repeat(begin, size)
+                    payload = (codes[index] >> U64(32)).astype(np.uint32)
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(least[one].view(np.int64)),
+                            ids.take(pa.array(own + lo)),
+                            pa.array((begin - bounds[own]).astype(np.int32)),
+                            pa.array((at[one] - begin).astype(np.int32)),
+                            binary(off * 4, payload),
+                        ],
+                        ["anchor", "doc_id", "pos", "shift", "tokens"],
+                    )
 
     kept = docs.select("doc_id", "_text", "_anchors")
     return kept.mapInArrow(tidy(run), "anchor long, doc_id long, pos int, shift int, tokens binary")

@@ -165,6 +165,40 @@ def test_suffix_batches_carry_open_groups(spark):
         assert got == want and {f for *_, f in got} == {0} and len({d for d, *_ in got}) == 49
 
 
+def test_long_texts_give_several_batches(spark, monkeypatch):
+    monkeypatch.setattr(suffix, "PAYLOAD", 40)
+    rows = [(k, " ".join(f"w{i % 17}" for i in range(60 + k))) for k in range(4)]
+    docs_ = [{"doc_id": d, "_text": t} for d, t in rows]
+    import pyarrow as pa
+
+    codes = [b for b in _runs_of(docs_, 6, 3)]
+    monkeypatch.setattr(suffix, "PAYLOAD", 1 << 26)
+    whole = [b for b in _runs_of(docs_, 6, 3)]
+    assert len(codes) > len(whole) == 1 and pa.Table.from_batches(codes).combine_chunks().equals(pa.Table.from_batches(whole).combine_chunks())
+
+
+def _runs_of(rows, depth, digit):
+    """What a worker makes of rows whose anchors are all wanted."""
+    import pyarrow as pa
+
+    class Frame:
+        def select(self, *names):
+            return self
+
+        def mapInArrow(self, run, schema):  # noqa: N802
+            text = pa.array([r["_text"] for r in rows])
+            codes, every = [], []
+            for _, _, data, offs in suffix.chunks(text.cast(pa.large_string())):
+                s, e, bounds = suffix.tokens(data, offs, suffix.SPACE)
+                codes = suffix.token_hashes(data, s, e)
+                _, least, _ = suffix._anchors(codes, bounds, depth, digit)
+                every = np.unique(least)
+            batch = pa.RecordBatch.from_arrays([pa.array([r["doc_id"] for r in rows]), text, pa.array([every.tobytes()] * len(rows))], ["doc_id", "_text", "_anchors"])
+            return run(iter([batch]))
+
+    return suffix._suffix_runs(Frame(), depth, digit)
+
+
 def test_deduplicate(spark):
     body = " ".join(f"b{k}" for k in range(60))
     rows = [(1, f"start {body} end", "en", "a", 1), (2, f"other {body}\nrest ", "en", "a", 1), (3, body, "en", "a", 1), (4, "untouched  text\n", "en", "a", 1), *HARD]
