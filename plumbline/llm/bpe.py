@@ -3,8 +3,8 @@
 Words (matches of the vocabulary's pattern) are cut by greedy longest match. A
 cut is what exact merging gives if and only if each adjacent pair of its tokens
 is what merging gives for the pair's bytes alone; so the distinct pairs of a
-batch are looked up together in a table of pairs known to be compatible or not,
-new ones are settled once by merging their few bytes, and a word passes if all
+batch are looked up together in a sorted array of pairs known to be compatible or
+not, new ones are settled once by merging their few bytes, and a word passes if all
 its pairs do. Only words that fail are merged exactly. A word that is a token is
 that token. Distinct words are cut once while a worker remembers them.
 
@@ -30,6 +30,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
+from .warc import _open
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Public pattern of the byte-level vocabulary: contractions, letters, numbers, other signs, white space.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
@@ -52,9 +54,12 @@ class Codec:
         #: rank of every token, -1 for what only begins one
         self.prefixes = {t[:k]: -1 for t in ranks for k in range(1, len(t))} | ranks
         self.words: dict[str, list[int]] = {}
-        self.pairs: dict[int, bool] = {}
+        self._forget_pairs()
         self.failed = self.seen = 0
 
+    def _forget_pairs(self) -> None:
+        self.pairs, self.good = np.zeros(0, np.int64), np.zeros(0, bool)
+
     @classmethod
     def read(cls, data: bytes, pattern: str = PATTERN) -> Codec:
         return cls({base64.b64decode(t): int(i) for t, i in map(bytes.split, data.splitlines()) if t}, pattern)
@@ -116,16 +121,18 @@ class Codec:
         return [ranks[word[i : end[i]]] for i in range(n) if alive[i]]
 
     def compatible(self, pairs: np.ndarray) -> np.ndarray:
-        """Whether merging gives each pair (left << 32 | right) for the pair's own bytes."""
+        """Whether merging gives each pair (left << 32 | right) for the pair's own bytes: a search in the sorted pairs that are settled."""
         uniq, back = np.unique(pairs, return_inverse=True)
-        known = self.pairs
+        at = np.minimum(np.searchsorted(self.pairs, uniq), max(0, len(self.pairs) - 1))
+        known = self.pairs[at] == uniq if len(self.pairs) else np.zeros(len(uniq), bool)
         out = np.empty(len(uniq), bool)
-        for k, p in enumerate(uniq.tolist()):
-            ok = known.get(p)
-            if ok is None:
-                a, b = p >> 32, p & 0xFFFFFFFF
-                ok = known[p] = self.merge(self.tokens[a] + self.tokens[b]) == [a, b]
-            out[k] = ok
+        out[known] = self.good[at[known]]
+        if not known.all():
+            fresh = uniq[~known]
+            out[~known] = settled = [self.merge(self.tokens[p >> 32] + self.tokens[p & 0xFFFFFFFF]) == [p >> 32, p & 0xFFFFFFFF] for p in fresh.tolist()]
+            both, good = np.concatenate([self.pairs, fresh]), np.concatenate([self.good, settled])
+            order = np.argsort(both, kind="stable")
+            self.pairs, self.good = both[order], good[order]
         return out[back]
 
     def cut(self, words: list[str]) -> list[list[int]]:
@@ -150,7 +157,7 @@ class Codec:
         if len(self.words) > REMEMBERED:
             self.words.clear()
         if len(self.pairs) > 4 * REMEMBERED:
-            self.pairs.clear()
+            self._forget_pairs()
         split = [self.pattern.findall(t) for t in texts]
         known = self.words
         new = list(set(chain.from_iterable(split)).difference(known))
@@ -198,9 +205,14 @@ def _slices(column: pa.Array, chars: int = 1 << 20) -> Iterator[list[str | None]
         yield part
 
 
+def _stream(path: str):  # noqa: ANN202
+    files, inner = _open(path)
+    return files.open_input_stream(inner, compression=None)
+
+
 def encode(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str = PATTERN) -> DataFrame:
     """(doc_id, tokens, n_tokens, exact): the tokens of every text; exact: they decode to the text."""
-    with open(vocabulary, "rb") as f:
+    with _stream(vocabulary) as f:
         shared = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,7 +236,7 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str = PATTERN
 
 def decode(encoded: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """(doc_id, text) of the rows of (doc_id, tokens)."""
-    with open(vocabulary, "rb") as f:
+    with _stream(vocabulary) as f:
         shared = encoded.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
