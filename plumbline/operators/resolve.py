@@ -18,11 +18,19 @@ def cardinality(wanted: DataFrame, targets: DataFrame, keys: list[str], unit: st
     return wanted.join(groups, keys, "left").withColumn("n", F.coalesce("n", F.lit(0))).withColumn("status", status).withColumn("unit", F.when(F.col("n") == 1, F.col("unit"))).withColumn("matches", F.when(F.col("n") > 1, F.col("matches")))
 
 
-def with_fallback(wanted: DataFrame, targets: DataFrame, key: str, id_column: str, normal: Column) -> DataFrame:
-    """Distinct (id, unit) that match by the key as it is or, where normalising changes it, by the normal form."""
-    plain = wanted.select(id_column, F.col(key).alias("_key"))
-    other = wanted.filter(normal != F.col(key)).select(id_column, normal.alias("_key"))
-    return plain.unionByName(other).join(targets.select(F.col("target").alias("_key"), "unit"), "_key").select(id_column, "unit").distinct()
+def with_fallback(wanted: DataFrame, targets: DataFrame, key: str, id_column: str, normal: Column, fallback: DataFrame | None = None) -> DataFrame:
+    """Distinct rows of targets, with the id, that match by the key as it is or, where normalising changes it, by the normal form.
+
+    targets has target and further columns; the normal form is looked up in
+    fallback, if there is one.
+    """
+    plain = wanted.select(id_column, F.col(key).alias("target"))
+    other = wanted.filter(normal != F.col(key)).select(id_column, normal.alias("target"))
+    if fallback is None:
+        found = plain.unionByName(other).join(targets, "target")
+    else:
+        found = plain.join(targets, "target").unionByName(other.join(fallback, "target"))
+    return found.drop("target").distinct()
 
 
 def only_in(rows: DataFrame, inside: DataFrame, outside: DataFrame, key: str) -> DataFrame:

@@ -381,9 +381,12 @@ def singular_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ladder of the one-identity rule, with suppliers as a nation's identities."""
     s = _table(spark, sf_dir, "supplier")
     n = _table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("file"))
-    per = s.groupBy(F.col("s_nationkey").alias("file")).agg(F.count("*").alias("identities"), F.max(F.col("s_acctbal") < 0).alias("anonymous"), F.max((F.col("s_suppkey") % 25) == F.col("s_nationkey")).alias("named"), F.array_sort(F.collect_list("s_name")).alias("names"))
+    per = s.groupBy(F.col("s_nationkey").alias("file")).agg(F.count("*").alias("identities"), F.max(F.col("s_acctbal") < 0).alias("anonymous"), F.max((F.col("s_suppkey") % 25) == F.col("s_nationkey")).alias("named"))
+    # the two least names of a nation are all that a task keeps
+    order = F.row_number().over(W.partitionBy("s_nationkey").orderBy("s_name"))
+    second = s.withColumn("_k", order).filter("_k <= 2").filter("_k = 2").select(F.col("s_nationkey").alias("file"), F.col("s_name").alias("second"))
     finding = F.when(F.col("identities") > 4, "several").when(F.col("anonymous"), "anonymous default").when((F.col("identities") > 0) & ~F.col("named"), "name differs").otherwise("fine")
-    return n.join(per, "file", "left").select("file", F.coalesce("identities", F.lit(0)).alias("identities"), finding.alias("finding"), F.try_element_at("names", F.lit(2)).alias("second"))
+    return n.join(per, "file", "left").join(second, "file", "left").select("file", F.coalesce("identities", F.lit(0)).alias("identities"), finding.alias("finding"), "second")
 
 
 @_query("""
@@ -410,13 +413,14 @@ def shared_block_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("""
 WITH u AS (SELECT DISTINCT regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS host, url FROM pages),
 named AS (SELECT *, first_value(url) OVER (PARTITION BY host ORDER BY length(url), url) AS canonical FROM u)
-SELECT host, canonical, coalesce(string_agg(url, ' ' ORDER BY url) FILTER (url <> canonical), '') AS aliases FROM named GROUP BY host, canonical""")
+SELECT host, canonical, url AS alias FROM named WHERE url <> canonical
+UNION ALL SELECT DISTINCT host, canonical, '' FROM named""")
 def alias_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The shortest address of a host, and the others in order."""
+    """The shortest address of a host, and a row for each other; no host's addresses are collected."""
     u = _table(spark, sf_dir, "pages").select(_page_host().alias("host"), "url").distinct()
-    grouped = u.groupBy("host").agg(F.min(F.struct(F.length("url").alias("n"), F.col("url"))).alias("first"), F.collect_set("url").alias("urls"))
-    others = F.array_sort(F.array_except("urls", F.array("first.url")))
-    return grouped.select("host", F.col("first.url").alias("canonical"), F.array_join(others, " ").alias("aliases"))
+    first = u.groupBy("host").agg(F.min(F.struct(F.length("url").alias("n"), F.col("url").alias("canonical"))).alias("_f")).select("host", "_f.canonical")
+    others = u.join(first, "host").filter("url <> canonical").select("host", "canonical", F.col("url").alias("alias"))
+    return others.unionByName(first.withColumn("alias", F.lit("")))
 
 
 @_query("""

@@ -17,9 +17,9 @@ from plumbline.functions.globs import GlobSet, glob_table, members
 from plumbline.functions.lineage import cut
 from plumbline.functions.text import is_module, location, plain_path, redacted, starts_with
 from plumbline.operators import coverage
-from plumbline.operators.closure import ancestor_closure
+from plumbline.operators.closure import ancestor_closure, prefixes
 from plumbline.operators.modules import candidates_of, entry_exports, resolve_modules
-from plumbline.operators.resolve import cardinality, completeness, only_in
+from plumbline.operators.resolve import cardinality, completeness, only_in, stage_of, with_fallback
 from plumbline.sources import openapi
 from plumbline.sources.inventory import flat, folders_of, in_program, project_scan, read_tree, root_problem
 
@@ -54,10 +54,10 @@ def config_tables(spark: SparkSession, config: GraphConfig) -> tuple[DataFrame,
     return claims, F.broadcast(references)
 
 
-def _problem(rows: DataFrame, code: str, message: Column, claim: Column | None = None, ref: Column | None = None, path: Column | None = None, line: Column | None = None) -> DataFrame:
+def _problem(rows: DataFrame, code: str | Column, message: Column, claim: Column | None = None, ref: Column | None = None, path: Column | None = None, line: Column | None = None) -> DataFrame:
     none = F.lit(None)
     return rows.select(
-        F.lit(code).alias("code"),
+        (F.lit(code) if isinstance(code, str) else code).alias("code"),
         (claim if claim is not None else none).cast("int").alias("claim_idx"),
         (ref if ref is not None else none).cast("int").alias("ref_idx"),
         (path if path is not None else none).cast("string").alias("path"),
@@ -227,7 +227,7 @@ class _Build:
         units = cut(self._selected(units))
         hollow = found.join(units.select(*CR).distinct(), CR, "left_anti")
         self.problems.append(_problem(self._labelled(hollow), "entry_no_units", _say(self.label, ": entry '", F.col("entry"), "' leads to no selected unit"), F.col("claim_idx"), F.col("ref_idx")))
-        inner = units.select(*CR, F.col("id").alias("unit_id"), F.explode(F.expr("case when size(identity) > 1 then transform(sequence(1, size(identity) - 1), n -> slice(identity, 1, n)) end")).alias("above"))
+        inner = units.select(*CR, F.col("id").alias("unit_id"), F.explode(prefixes(F.col("identity"))).alias("above"))
         below = inner.join(units.select(*CR, F.col("id").alias("scope_id"), F.col("identity").alias("above")), [*CR, "above"]).filter("scope_id <> unit_id").select(*CR, "scope_id", "unit_id", F.lit(1).alias("turn"))
         scopes = units.select(*CR, F.col("id").alias("scope_id"), F.col("id").alias("unit_id"), F.lit(0).alias("turn")).unionByName(below.distinct())
         return units, scopes, found.select(*CR, F.col("entry").alias("path"))
@@ -251,10 +251,9 @@ class _Build:
         bare = only_in(mine, ts, md.select(F.col("address").alias("target")), "target")
         self.problems.append(_problem(bare, "unbraced", _say("'", F.col("target"), "' at ", where, " names a TypeScript symbol: write it as {@link ", F.col("target"), "} and import it"), path=F.col("path"), line=F.col("line")))
         rest = plain.join(bare.select("decl_id"), "decl_id", "left_anti")
-        normal = plain_path(F.col("target"))
-        direct = rest.join(targets, rest["target"] == targets["address"]).select("decl_id", "unit_id", "described")
-        other = rest.withColumn("_n", normal).filter("_n <> target").join(md, F.col("_n") == md["address"]).select("decl_id", "unit_id", "described")
-        counted = cardinality(rest, direct.unionByName(other), ["decl_id"], "unit_id", F.col("described"))
+        known = ["unit_id", "described"]
+        matches = with_fallback(rest, targets.select(F.col("address").alias("target"), *known), "target", "decl_id", plain_path(F.col("target")), md.select(F.col("address").alias("target"), *known))
+        counted = cardinality(rest, matches, ["decl_id"], "unit_id", F.col("described"))
         lost, many = counted.filter("n = 0"), counted.filter("n > 1")
         self.problems.append(_problem(lost, "unresolved", _say("'", F.col("target"), "' at ", where, " is no known unit"), path=F.col("path"), line=F.col("line")))
         self.problems.append(_problem(many, "ambiguous", _say("'", F.col("target"), "' at ", where, " could be ", F.col("matches")), path=F.col("path"), line=F.col("line")))
@@ -275,12 +274,16 @@ class _Build:
         found = bound.join(self.modules(), (F.col("path") == F.col("from")) & bound["specifier"].eqNullSafe(self.modules()["specifier"]), "left").drop(self.modules()["specifier"])
         rest = F.expr("slice(_parts, 2, 1000000)")
         name = F.array_join(F.when(F.col("is_namespace"), rest).otherwise(F.concat(F.array("imported"), rest)), ".")
-        staged = cut(found.withColumn("_name", name))
-        self.problems.append(_problem(staged.filter("local is null"), "unimported", _say(shown, ": '", F.col("_head"), "' isn't imported"), **at))
-        self.problems.append(_problem(staged.filter("local is not null and module is null"), "unresolved_module", _say(shown, ": module '", F.col("specifier"), "' leads to no file"), **at))
-        ready = staged.filter("module is not null")
-        self.problems.append(_problem(ready.filter("_name = ''"), "incomplete", _say(shown, " names a module and no unit in it"), **at))
-        ready = ready.filter("_name <> ''")
+        stage = stage_of([("unimported", F.col("local").isNull()), ("unresolved_module", F.col("module").isNull()), ("incomplete", F.col("_name") == "")], "ready")
+        staged = cut(found.withColumn("_name", name).withColumn("_stage", stage))
+        told = (
+            F.when(F.col("_stage") == "unimported", _say(shown, ": '", F.col("_head"), "' isn't imported"))
+            .when(F.col("_stage") == "unresolved_module", _say(shown, ": module '", F.col("specifier"), "' leads to no file"))
+            .otherwise(_say(shown, " names a module and no unit in it"))
+        )
+        failed = _problem(staged.filter("_stage <> 'ready'"), F.col("_stage"), told, **at)
+        self.problems.append(failed)
+        ready = staged.filter("_stage = 'ready'")
         scoped = targets.filter(F.col("artifact") == model.TYPESCRIPT)
         candidates = ready.join(scoped, (F.col("module") == F.col("owner")) & (F.col("_name") == F.col("address"))).select("decl_id", "unit_id", "described")
         counted = cardinality(ready, candidates, ["decl_id"], "unit_id", F.col("described"))

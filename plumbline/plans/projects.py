@@ -235,12 +235,12 @@ def openapi_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query("""
-WITH s AS (SELECT s_suppkey AS k, s_acctbal < 0 AS aliased, s_suppkey % 3 = 0 AS cited FROM supplier)
-SELECT 'unit' AS what, CASE WHEN aliased THEN 'Also' ELSE 'S' END || k AS target, CASE WHEN aliased THEN 'S' || k ELSE '' END AS aliases FROM s
-UNION ALL SELECT 'missing', CASE WHEN aliased THEN 'Also' ELSE 'S' END || k, '' FROM s WHERE NOT cited""")
+WITH s AS (SELECT n_nationkey AS k, n_regionkey = 0 AS aliased, n_nationkey % 3 = 0 AS cited FROM nation)
+SELECT 'unit' AS what, 'S' || k AS target, CASE WHEN aliased THEN 'Also' || k ELSE '' END AS aliases FROM s
+UNION ALL SELECT 'missing', 'S' || k, '' FROM s WHERE NOT cited""")
 def entry_population(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What an entry module exports from a module a supplier, some under a second name, and what a third of the suppliers' modules leave uncited."""
-    s = _table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("k"), (F.col("s_acctbal") < 0).alias("aliased"), (F.col("s_suppkey") % 3 == 0).alias("cited"))
+    """What an entry module exports from a module a nation, some under a second name, and what two thirds of the nations leave uncited."""
+    s = _table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("string").alias("k"), (F.col("n_regionkey") == 0).alias("aliased"), (F.col("n_nationkey") % 3 == 0).alias("cited"))
     line = F.when(F.col("aliased"), _say("export { S", F.col("k"), " as Also", F.col("k"), " } from './s", F.col("k"), "';\n")).otherwise("")
     line = _say(line, "export * from './s", F.col("k"), ".js';\n")
     index = s.agg(F.array_join(F.array_sort(F.collect_list(line)), "").alias("t")).select(*_file(F.lit("api/index.ts"), F.col("t")))
