@@ -9,6 +9,7 @@ still processed whole.
 from __future__ import annotations
 
 import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -46,8 +47,18 @@ def powers(kind: str, n: int) -> tuple[np.ndarray, np.ndarray]:
     return have
 
 
+def give_back() -> None:
+    """Give memory that this process doesn't use back to the machine."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
-    """run, after which the worker gives the memory that it doesn't use back to the machine.
+    """run, after which the worker gives memory back.
 
     Workers are kept from task to task and stage to stage, with what their allocators hold.
     """
@@ -56,11 +67,7 @@ def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            try:
-                ctypes.CDLL(None).malloc_trim(0)
-            except (AttributeError, OSError):  # another C library
-                pass
+            give_back()
 
     return tidied
 

@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .bytekernels import SPACE, U64, chunks, column, tidy
+from .bytekernels import SPACE, U64, chunks, column, give_back, tidy
 from .storage import free
 
 BUCKETS = 1 << 16
@@ -260,7 +260,10 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
     picked = [r[0] for r in low.select("doc_id").collect()]
     got = docs.filter(docs["doc_id"].isin(picked)).select("doc_id", F.lower("text").alias("text"), "lang").collect() if picked else []
     got = sorted({(r[0], r[1], r[2]) for r in got if r[1] is not None and r[2] is not None}, key=lambda r: (r[0] * 2654435761 % 2**32, r))
-    return fit([(t, y) for _, t, y in got])
+    model = fit([(t, y) for _, t, y in got])
+    del got
+    give_back()
+    return model
 
 
 def _judged(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:

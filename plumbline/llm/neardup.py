@@ -49,7 +49,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .bytekernels import NONWORD, U64, chunks, column, gram_hashes, mix, owners, tidy, token_hashes, tokens
+from .bytekernels import NONWORD, U64, chunks, column, give_back, gram_hashes, mix, owners, tidy, token_hashes, tokens
 from .storage import checkpointed, free, small, written
 
 SHINGLE = 3
@@ -115,12 +115,17 @@ def slot_numbers(made: np.ndarray) -> tuple[np.ndarray, ...]:
     return tuple(((made * (U64(1) if k == 0 else _SLOT_KEYS[k])) >> U64(44)).astype(np.int64) + k * DF_SLOTS for k in range(HASHES))
 
 
-def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
-    """(texts that have a shingle of the slot, for each slot of each row; texts with shingles)."""
+def inverse_frequencies(slots: np.ndarray, texts: int) -> np.ndarray:
+    """log(1 + 1 / share) of slots, from the texts that have a shingle of each; half precision is 0.05 % off at most."""
+    return np.log1p(1 / np.maximum(slots / max(texts, 1), max(RARE, 1 / max(texts, 1)))).astype(np.float16)
+
+
+def document_weights(docs: DataFrame) -> np.ndarray:
+    """inverse_frequencies of the slots of all rows of the corpus's sketch."""
     names = ["part", "lane", "counts", "texts"]
 
-    def rows(part: int, lane: int, counts: np.ndarray, texts: int) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([lane], pa.int32()), pa.array([counts.astype("<i8").tobytes()], pa.binary()), pa.array([texts], pa.int64())], names)
+    def row(part: int, lane: int, counts: np.ndarray, texts: int) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([lane], pa.int32()), pa.array([counts.tobytes()], pa.binary()), pa.array([texts], pa.int64())], names)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slots = np.zeros(HASHES * DF_SLOTS, np.int32)
@@ -134,31 +139,32 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
         if texts:
             lane = TaskContext.get().partitionId() % LANES
             for part, own in enumerate(slots.reshape(-1, SLICE)):
-                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([lane], pa.int32()), pa.array([own.astype("<i4").tobytes()], pa.binary()), pa.array([texts], pa.int64())], names)
+                yield row(part, lane, own.astype("<i4"), texts)
 
-    def total(batches: Iterator[pa.RecordBatch], kind: str) -> Iterator[pa.RecordBatch]:
+    def total(batches: Iterator[pa.RecordBatch], kind: str) -> dict[int, tuple[np.ndarray, int, int]]:
         held: dict[int, tuple[np.ndarray, int, int]] = {}
         for b in batches:
             for part, lane, counts, texts in zip(*(c.to_pylist() for c in b.columns)):
                 own, lane, have = held.get(part, (np.zeros(SLICE, np.int64), lane, 0))
                 own += np.frombuffer(counts, kind)
                 held[part] = own, lane, have + texts
-        for part, (own, lane, texts) in held.items():
-            yield rows(part, lane, own, texts)
+        return held
 
-    schema = "part int, lane int, counts binary, texts long"
-    lowered = docs.filter("doc_id is not null and text is not null").select(F.lower("text").alias("_lowered"))
-    lanes = lowered.mapInArrow(tidy(count), schema).repartition("part", "lane").mapInArrow(lambda x: total(x, "<i4"), schema)
-    found = lanes.repartition("part").mapInArrow(lambda x: total(x, "<i8"), schema).collect()
-    slots = np.zeros(HASHES * DF_SLOTS, np.int64)
-    for part, _, counts, _ in found:
-        slots[part * SLICE : (part + 1) * SLICE] = np.frombuffer(counts, np.int64)
-    return slots, max([0, *(r[3] for r in found)])
+    def by_lane(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, (own, lane, texts) in total(batches, "<i4").items():
+            yield row(part, lane, own.astype("<i8"), texts)
 
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, (own, lane, texts) in total(batches, "<i8").items():
+            yield row(part, lane, inverse_frequencies(own, texts), texts)
 
-def inverse_frequencies(slots: np.ndarray, texts: int) -> np.ndarray:
-    """log(1 + 1 / share) of each slot."""
-    return np.log1p(1 / np.maximum(slots / max(texts, 1), max(RARE, 1 / max(texts, 1)))).astype(np.float32)
+    schema = "part int, lane int, counts binary, texts long"
+    lowered = docs.filter("doc_id is not null and text is not null").select(F.lower("text").alias("_lowered"))
+    lanes = lowered.mapInArrow(tidy(count), schema).repartition("part", "lane").mapInArrow(tidy(by_lane), schema)
+    out = np.ones(HASHES * DF_SLOTS, np.float16)
+    for part, held in lanes.repartition("part").mapInArrow(tidy(weigh), schema).select("part", "counts").collect():
+        out[part * SLICE : (part + 1) * SLICE] = np.frombuffer(held, np.float16)
+    return out
 
 
 def weights(made: np.ndarray, idf: np.ndarray) -> np.ndarray:
@@ -167,7 +173,7 @@ def weights(made: np.ndarray, idf: np.ndarray) -> np.ndarray:
     out = idf[first]
     for places in more:
         out = np.maximum(out, idf[places])
-    return out
+    return out.astype(np.float32)
 
 
 def samples(made: np.ndarray, weight: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -309,8 +315,8 @@ def _across(split: DataFrame, held: DataFrame, idf: np.ndarray, threshold: float
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, kept_doc_id) of every document that isn't the kept one of its group."""
-    slots, texts = document_frequencies(docs)
-    idf = inverse_frequencies(slots, texts)
+    idf = document_weights(docs)
+    give_back()
     signed = written(signatures(docs, idf), "signatures")
     forms = signed.groupBy("form", "form2").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands"), F.count("*").alias("n"))
     copies = signed.join(forms.filter("n > 1").select("form", "form2", "rep"), ["form", "form2"]).filter("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
