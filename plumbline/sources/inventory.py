@@ -9,13 +9,16 @@ from __future__ import annotations
 import posixpath
 import re
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from py4j.protocol import Py4JJavaError
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from plumbline import model
 from plumbline.config import GraphConfig
@@ -108,8 +111,38 @@ class Unreadable(ValueError):
     """Why a file can't be scanned."""
 
 
-def _scanned(rows: DataFrame, artifact: str, code: str, one: Callable[[str, bytes | None], dict]) -> DataFrame:
-    """Scan rows of (path, content); whatever a scanner raises is that file's problem, of that code."""
+#: The arrays of a scan row.
+PARTS = ("units", "declarations", "problems", "imports", "exports", "identities", "doc_hosts")
+#: Bytes that a row or an item of its arrays counts as, and of scan rows that are sent on together.
+ITEM, SLICE = 512, 4 << 20
+
+
+def _cost(row: dict, content: bytes | None) -> int:
+    """About how many bytes a file and its scan row take."""
+    return ITEM * (1 + sum(len(x) for x in row.values() if isinstance(x, list))) + (len(content) if content is not None else 0)
+
+
+def _slices(batches: Iterable[pa.RecordBatch], one: Callable[[str, bytes | None], dict], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """The scan rows of batches of (path, content), sent on whenever those held take about SLICE bytes, however many files come at once."""
+    held, size = [], 0
+    for b in batches:
+        for path, content in zip(b.column("path"), b.column("content")):
+            path, content = path.as_py(), content.as_py()
+            held.append(one(path, content))
+            size += _cost(held[-1], content)
+            if size >= SLICE:
+                yield pa.RecordBatch.from_pylist(held, schema)
+                held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_pylist(held, schema)
+
+
+def _scanned(rows: DataFrame, artifact: str, code: str, one: Callable[[str, bytes | None], dict], parts: tuple[str, ...] = PARTS) -> DataFrame:
+    """Scan rows of (path, content), of their arrays those in parts; whatever a scanner raises is that file's problem, of that code."""
+    kept = {"path", "artifact", "problems", *parts} | ({"anonymous_line"} if "identities" in parts else set())
+    fields = StructType([f for f in StructType.fromDDL(model.SCAN).fields if f.name in kept])
+    schema = to_arrow_schema(fields)
+    empty = {name: [] for name in PARTS} | {"anonymous_line": None}
 
     def guarded(path: str, content: bytes | None) -> dict:
         try:
@@ -121,16 +154,10 @@ def _scanned(rows: DataFrame, artifact: str, code: str, one: Callable[[str, byte
         shown = openapi.shown(path) if artifact == model.OPENAPI else path
         return {"path": path, "artifact": artifact, "problems": [{"code": code, "symbol": "*", "message": f"'{shown}' can't be scanned: {why}"}]}
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        empty = {"units": [], "declarations": [], "problems": [], "imports": [], "exports": [], "identities": [], "anonymous_line": None, "doc_hosts": []}
-        order = ["path", "artifact", "units", "declarations", "problems", "imports", "exports", "identities", "anonymous_line", "doc_hosts"]
-        for b in batches:
-            found = [empty | guarded(p, c) for p, c in zip(b["path"], b["content"])]
-            frame = pd.DataFrame(found, columns=order)
-            frame["anonymous_line"] = frame["anonymous_line"].astype("Int32")
-            yield frame
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _slices(batches, lambda path, content: empty | guarded(path, content), schema)
 
-    return rows.mapInPandas(run, model.SCAN)
+    return rows.select("path", "content").mapInArrow(run, fields)
 
 
 def _text(content: bytes | None) -> str:
@@ -146,8 +173,9 @@ def scan_markdown(files: DataFrame, words: tuple[str, str] = model.TAGS) -> Data
     return _scanned(files, model.MARKDOWN, "md_unreadable", lambda p, c: markdown.scan(p, _text(c), words))
 
 
-def scan_typescript(files: DataFrame, words: tuple[str, str] = model.TAGS) -> DataFrame:
-    return _scanned(files, model.TYPESCRIPT, "ts_unreadable", lambda p, c: typescript.scan(p, _text(c), words))
+def scan_typescript(files: DataFrame, words: tuple[str, str] = model.TAGS, parts: tuple[str, ...] = PARTS) -> DataFrame:
+    """parts: the arrays that are wanted; the others are neither made nor moved."""
+    return _scanned(files, model.TYPESCRIPT, "ts_unreadable", lambda p, c: typescript.scan(p, _text(c), words, parts), parts)
 
 
 def scan_openapi(sources: DataFrame, fetch: Callable[[str], bytes] = openapi.fetch) -> DataFrame:
