@@ -18,7 +18,7 @@ from plumbline.functions.text import redacted
 from plumbline.plans.catalogue import _page_path, _query, _table
 from plumbline.plans.graph import check_files, check_tree
 from plumbline.plans.rules import documented, hints, singular
-from plumbline.sources.inventory import flat, scan_markdown, scan_openapi, scan_typescript, write_tree
+from plumbline.sources.inventory import flat, scan_markdown, scan_openapi, scan_typescript, spread, write_tree
 
 _PATH = "regexp_extract(url, '^[a-z]+://[^/]+/([^?#]*)', 1)"
 
@@ -31,8 +31,13 @@ def _say(*parts: str | Column) -> Column:
     return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
 
 
+def _rows(spark: SparkSession, sf_dir: str, table: str, *columns: Column) -> DataFrame:
+    """Narrow columns of a table, k first, as rows that files are made of."""
+    return spread(_table(spark, sf_dir, table).select(*columns), "k")
+
+
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("k"), _page_path().alias("where"))
+    return _rows(spark, sf_dir, "pages", F.col("page_id").cast("string").alias("k"), _page_path().alias("where"))
 
 
 @_query(f"""
@@ -191,7 +196,7 @@ UNION ALL SELECT 'missing', 'spec/' || page_id || '.md', 1 FROM p WHERE kind < 4
 UNION ALL SELECT 'missing', 'spec/' || page_id || '.md', 2 FROM p WHERE kind = 1""")
 def citation_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A specification and a ledger a page, with one thing wrong: no reason, two units of a name, a host that isn't selected, a link, no anchor."""
-    p = _table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("k"), (F.col("page_id") % 5).alias("kind"))
+    p = _rows(spark, sf_dir, "pages", F.col("page_id").cast("string").alias("k"), (F.col("page_id") % 5).alias("kind"))
     name, kind = _say("spec/", F.col("k"), ".md"), F.col("kind")
     spec = p.select(*_file(name, F.when(kind == 1, "## Same\n## Same\n").when(kind == 4, "## ***\n").otherwise("## Same\n")))
     target = F.when(kind == 3, "{@link Same} it is").when(kind == 0, _say(name, "#same")).otherwise(_say(name, "#same it is"))
@@ -228,7 +233,8 @@ found AS (
 SELECT 'https://***@api.test/s' || k || '?<redacted>' AS source, what, target FROM found""")
 def openapi_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A remote description a supplier, fetched by a function in place of the network."""
-    asked = _table(spark, sf_dir, "supplier").select(_say("https://me:secret@api.test/s", F.col("s_suppkey").cast("string"), "?key=1").alias("path"), F.lit(None).cast("binary").alias("content"))
+    k = _rows(spark, sf_dir, "supplier", F.col("s_suppkey").cast("string").alias("k"))
+    asked = k.select(_say("https://me:secret@api.test/s", F.col("k"), "?key=1").alias("path"), F.lit(None).cast("binary").alias("content"))
     scan = scan_openapi(asked, _description)
     units = flat(scan, "units").select(F.col("path").alias("source"), F.lit("unit").alias("what"), "target")
     return units.unionByName(flat(scan, "problems").select(redacted(F.col("file")).alias("source"), F.col("code").alias("what"), F.lit("").alias("target")))

@@ -35,12 +35,24 @@ def read_tree(spark: SparkSession, root: str, folders: list[str] | None = None)
     found = [p for p in wanted if _exists(spark, p)]
     if not found:
         return spark.createDataFrame([], model.FILES)
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(found)
+    raw = _packed(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(found))
     plain = F.regexp_replace("path", "^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?/*", "/")
     stem = "/" + base.split("://", 1)[-1].lstrip("/") + "/"
     return raw.select(F.substring(plain, len(stem) + 1, 1 << 30).alias("path"), "content")
 
 
+def _packed(raw: DataFrame) -> DataFrame:
+    """raw in fewer and longer tasks: Spark counts 4 MB for opening a file, so it reads 32 small ones a task, and each task is a file of what is stored of it."""
+    splits = raw.rdd.getNumPartitions()
+    return raw.coalesce(max(4 * raw.sparkSession.sparkContext.defaultParallelism, splits // 64))
+
+
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """rows in partitions for all cores: a table of narrow rows is a split or two, however many files its rows are made into."""
+    spark = rows.sparkSession
+    return rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism), *keys)
+
+
 def _place(spark: SparkSession, path: str) -> tuple:
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p

@@ -29,3 +29,13 @@ def test_descriptions_leave_in_slices(spark):
     out = sliced(lambda p, c: openapi.scan(p, lambda: c), [text] * 100)
     assert len(out) > 3 and out[0][0] < 30
     assert sum(len(u) for _, b in out for u in b.column("units").to_pylist()) == 100 * 400
+
+
+def test_small_files_are_read_by_few_tasks(spark, tmp_path):
+    want = {f"a/f{k}.md": f"# {k}\n".encode() for k in range(400)}
+    (tmp_path / "a").mkdir()
+    for name, content in want.items():
+        (tmp_path / name).write_bytes(content)
+    files = inventory.read_tree(spark, str(tmp_path))
+    assert files.rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism
+    assert {r.path: bytes(r.content) for r in files.collect()} == want
