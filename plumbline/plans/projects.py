@@ -124,7 +124,7 @@ SELECT 'src/p' || k || '.ts' AS path, 2 AS line, 'no documentation of exported p
 UNION ALL SELECT 'src/p' || k || '.ts', 4, CASE WHEN p_type = 'SMALL' THEN 'empty' ELSE 'no' END || ' documentation of exported function ''run''' FROM t WHERE p_type IN ('SMALL', 'LARGE')""")
 def documented_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A module a part, whose function is documented, or by an empty block, or not at all."""
-    p = _table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("k"), F.col("p_type").alias("t"))
+    p = _rows(spark, sf_dir, "part", F.col("p_partkey").cast("string").alias("k"), F.col("p_type").alias("t"))
     block = F.when(F.col("t") == "SMALL", "/** * */").when(F.col("t") == "LARGE", "// line").otherwise("/** Runs. */")
     text = _say("/** A part. */ export interface IPart {\n  size: number }\n", block, "\nexport const run = (): void => {};\nconst hidden = 1;\n")
     return documented(p.select(*_file(_say("src/p", F.col("k"), ".ts"), text))).select("path", "line", "message")

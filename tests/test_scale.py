@@ -3,12 +3,17 @@
 import json
 
 import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+import __spark_entry__
 from plumbline import model
 from plumbline.sources import inventory, openapi
 
+SF = __spark_entry__.SMOKE_DIR
+
 
 def sliced(scan, contents):
     """(files scanned, rows) at each batch that leaves a task which is given all files at once."""
@@ -31,6 +36,20 @@ def test_descriptions_leave_in_slices(spark):
     assert sum(len(u) for _, b in out for u in b.column("units").to_pylist()) == 100 * 400
 
 
+@pytest.mark.parametrize("name", ["documented_rule"])
+def test_rows_of_one_split_are_scanned_by_several_tasks(spark, name):
+    found = __spark_entry__.queries()[name](spark, SF)
+    assert found.select(F.spark_partition_id()).distinct().count() > 1
+
+
+def test_only_wanted_parts_are_scanned(spark):
+    files = spark.createDataFrame([("a.ts", bytearray(b"/** A. */\nexport interface A { b: 1 }\n")), ("b.ts", bytearray(b"\xff"))], model.FILES)
+    for part, more in (("units", []), ("doc_hosts", []), ("declarations", []), ("identities", ["anonymous_line"])):
+        whole, own = inventory.scan_typescript(files), inventory.scan_typescript(files, parts=(part,))
+        assert set(own.columns) == {"path", "artifact", "problems", part, *more}
+        assert sorted(own.collect()) == sorted(whole.select(own.columns).collect())
+
+
 def test_small_files_are_read_by_few_tasks(spark, tmp_path):
     want = {f"a/f{k}.md": f"# {k}\n".encode() for k in range(400)}
     (tmp_path / "a").mkdir()
