@@ -136,9 +136,9 @@ UNION ALL SELECT 'src/c' || c_custkey || '.ts', 'type', 'N', 1 FROM customer
 UNION ALL SELECT 'src/c' || c_custkey || '.ts', 'function', 'N.C.prototype.' || lower(c_mktsegment), 3 FROM customer""")
 def typescript_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Units of a module a customer: a namespace with a value and a class."""
-    c = _table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("k"), F.lower("c_mktsegment").alias("m"))
+    c = _rows(spark, sf_dir, "customer", F.col("c_custkey").cast("string").alias("k"), F.lower("c_mktsegment").alias("m"))
     text = _say("export namespace N {\n  export const balance = `${ {a: '}'} }`;\n  export class C<T> { ", F.col("m"), "(x: T): { y: 1 } { return { y: 1 } } private no() {} get g() { return 1 } }\n  class Inner { m() {} }\n}\n")
-    units = flat(scan_typescript(c.select(*_file(_say("src/c", F.col("k"), ".ts"), text))), "units")
+    units = flat(scan_typescript(c.select(*_file(_say("src/c", F.col("k"), ".ts"), text)), parts=("units",)), "units")
     return units.select("path", "symbol", "target", "line")
 
 
@@ -159,7 +159,7 @@ def block_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Citations at the end of documentation blocks that hold whole texts, and of one that is a link."""
     d = _table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("k"), "text")
     text = _say("/**\n", F.col("text"), "\n@cite docs/", F.col("k"), ".md since it is there\n*/\nexport const { doc } = x;\n/** @cite {@link D", F.col("k"), "} by type */ export type T = D", F.col("k"), ";\n")
-    found = flat(scan_typescript(d.select(*_file(_say("src/d", F.col("k"), ".ts"), text))), "declarations")
+    found = flat(scan_typescript(d.select(*_file(_say("src/d", F.col("k"), ".ts"), text)), parts=("declarations",)), "declarations")
     return found.select("path", "target", F.array_join("hosts", ",").alias("host"), "line", "is_link")
 
 
