@@ -10,6 +10,7 @@ from pyspark.sql.types import StructType
 
 import __spark_entry__
 from plumbline import model
+from plumbline.plans import projects
 from plumbline.sources import inventory, openapi
 
 SF = __spark_entry__.SMOKE_DIR
@@ -42,6 +43,21 @@ def test_rows_of_one_split_are_scanned_by_several_tasks(spark, name):
     assert found.select(F.spark_partition_id()).distinct().count() > 1
 
 
+@pytest.mark.parametrize(("name", "root"), [("import_scope_rule", "api/"), ("graph_rule", "spec/"), ("citation_problems", "spec/")])
+def test_files_of_one_split_are_scanned_by_several_tasks(spark, monkeypatch, name, root):
+    class Enough(Exception):
+        pass
+
+    def keep(spark, files, *_, **__):
+        raise Enough(files)
+
+    monkeypatch.setattr(projects, "check_files", keep)
+    with pytest.raises(Enough) as e:
+        __spark_entry__.queries()[name](spark, SF)
+    files = e.value.args[0].filter(F.col("path").startswith(root))
+    assert files.select(F.spark_partition_id()).distinct().count() > 1
+
+
 def test_only_wanted_parts_are_scanned(spark):
     files = spark.createDataFrame([("a.ts", bytearray(b"/** A. */\nexport interface A { b: 1 }\n")), ("b.ts", bytearray(b"\xff"))], model.FILES)
     for part, more in (("units", []), ("doc_hosts", []), ("declarations", []), ("identities", ["anonymous_line"])):
