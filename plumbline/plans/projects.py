@@ -182,9 +182,9 @@ _FORMS = {
 )
 def typescript_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every form of declaration, chosen by a part's size: ambient and merged ones, patterns, aliases, members."""
-    p = _table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("k"), (F.col("p_size") % len(_FORMS)).alias("form"))
+    p = _rows(spark, sf_dir, "part", F.col("p_partkey").cast("string").alias("k"), (F.col("p_size") % len(_FORMS)).alias("form"))
     text = F.element_at(F.array(*[F.lit(t) for t, _ in _FORMS.values()]), F.col("form") + 1)
-    units = flat(scan_typescript(p.select(*_file(_say("src/p", F.col("k"), ".ts"), text))), "units")
+    units = flat(scan_typescript(p.select(*_file(_say("src/p", F.col("k"), ".ts"), text)), parts=("units",)), "units")
     return units.select("path", "symbol", "target", F.regexp_extract("id", "^(.*?\\.ts:[a-z]+:)", 1).alias("stem"))
 
 

@@ -37,7 +37,7 @@ def test_descriptions_leave_in_slices(spark):
     assert sum(len(u) for _, b in out for u in b.column("units").to_pylist()) == 100 * 400
 
 
-@pytest.mark.parametrize("name", ["typescript_scan", "documented_rule"])
+@pytest.mark.parametrize("name", ["typescript_scan", "typescript_forms", "documented_rule"])
 def test_rows_of_one_split_are_scanned_by_several_tasks(spark, name):
     found = __spark_entry__.queries()[name](spark, SF)
     assert found.select(F.spark_partition_id()).distinct().count() > 1
