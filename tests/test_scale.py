@@ -11,7 +11,7 @@ from pyspark.sql.types import StructType
 import __spark_entry__
 from plumbline import model
 from plumbline.plans import projects
-from plumbline.sources import inventory, openapi
+from plumbline.sources import inventory, markdown, openapi
 
 SF = __spark_entry__.SMOKE_DIR
 
@@ -37,6 +37,12 @@ def test_descriptions_leave_in_slices(spark):
     assert sum(len(u) for _, b in out for u in b.column("units").to_pylist()) == 100 * 400
 
 
+def test_long_texts_leave_in_slices(spark):
+    out = sliced(lambda p, c: markdown.scan(p, c.decode()), [b"# A\n" + b"word " * 100_000] * 30)
+    assert len(out) > 2 and out[0][0] < 15
+    assert [len(u) for _, b in out for u in b.column("units").to_pylist()] == [2] * 30
+
+
 @pytest.mark.parametrize("name", ["typescript_scan", "typescript_forms", "documented_rule"])
 def test_rows_of_one_split_are_scanned_by_several_tasks(spark, name):
     found = __spark_entry__.queries()[name](spark, SF)
