@@ -43,7 +43,7 @@ def test_long_texts_leave_in_slices(spark):
     assert [len(u) for _, b in out for u in b.column("units").to_pylist()] == [2] * 30
 
 
-@pytest.mark.parametrize("name", ["typescript_scan", "typescript_forms", "documented_rule"])
+@pytest.mark.parametrize("name", ["typescript_scan", "typescript_forms", "singular_rule", "documented_rule"])
 def test_rows_of_one_split_are_scanned_by_several_tasks(spark, name):
     found = __spark_entry__.queries()[name](spark, SF)
     assert found.select(F.spark_partition_id()).distinct().count() > 1
