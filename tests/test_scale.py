@@ -1,6 +1,7 @@
 """How scans are spread over tasks and how much of them is held at once."""
 
 import json
+import tracemalloc
 
 import pyarrow as pa
 import pytest
@@ -43,6 +44,27 @@ def test_long_texts_leave_in_slices(spark):
     assert [len(u) for _, b in out for u in b.column("units").to_pylist()] == [2] * 30
 
 
+def test_a_markdown_file_of_many_lines_takes_little_besides_its_text():
+    text = "# A\n" + "abcde\n" * 300_000 + "<!-- @cite a.md why -->\n"
+    tracemalloc.start()
+    row = markdown.scan("f.md", text)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [u["line"] for u in row["units"]] == [1, 1] and [(d["line"], d["hosts"]) for d in row["declarations"]] == [(300_002, ["h1"])]
+    assert peak < 2 * len(text)
+
+
+@pytest.mark.parametrize("block", [0, 1, 5, 17])
+def test_lines_are_the_same_in_any_blocks(monkeypatch, block):
+    text = "# A\r\n\n\n```\n<!-- @cite b.md no -->\n# B\n```\r\n<!--\n# C\n@cite a.md one\n--><!-- @cite a.md two -->\n## D\r\nx <!-- @cite a.md three -->\n"
+    whole = markdown.scan("f.md", text)
+    monkeypatch.setattr(markdown, "BLOCK", block)
+    assert list(markdown._lines(text)) == text.split("\n")
+    assert markdown.scan("f.md", text) == whole
+    assert [(u["symbol"], u["line"]) for u in whole["units"]] == [("file", 1), ("h1", 1), ("h2", 12)]
+    assert [(d["line"], d["hosts"]) for d in whole["declarations"]] == [(10, ["h1"]), (11, ["h1"]), (13, ["h2"])]
+
+
 @pytest.mark.parametrize("name", ["typescript_scan", "typescript_forms", "singular_rule", "documented_rule"])
 def test_rows_of_one_split_are_scanned_by_several_tasks(spark, name):
     found = __spark_entry__.queries()[name](spark, SF)
