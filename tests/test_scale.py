@@ -12,7 +12,7 @@ from pyspark.sql.types import StructType
 import __spark_entry__
 from plumbline import model
 from plumbline.plans import projects
-from plumbline.sources import inventory, markdown, openapi
+from plumbline.sources import inventory, markdown, openapi, tags
 
 SF = __spark_entry__.SMOKE_DIR
 
@@ -44,22 +44,35 @@ def test_long_texts_leave_in_slices(spark):
     assert [len(u) for _, b in out for u in b.column("units").to_pylist()] == [2] * 30
 
 
+def peak_of(run):
+    """(what run gives, most bytes that it held)"""
+    tracemalloc.start()
+    try:
+        return run(), tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
 def test_a_markdown_file_of_many_lines_takes_little_besides_its_text():
     text = "# A\n" + "abcde\n" * 300_000 + "<!-- @cite a.md why -->\n"
-    tracemalloc.start()
-    row = markdown.scan("f.md", text)
-    peak = tracemalloc.get_traced_memory()[1]
-    tracemalloc.stop()
+    row, peak = peak_of(lambda: markdown.scan("f.md", text))
     assert [u["line"] for u in row["units"]] == [1, 1] and [(d["line"], d["hosts"]) for d in row["declarations"]] == [(300_002, ["h1"])]
     assert peak < 2 * len(text)
 
 
+def test_a_comment_of_many_lines_takes_little_besides_its_text():
+    text = "/**\n" + "abcde\n" * 300_000 + "@cite a.md why\n*/"
+    found, peak = peak_of(lambda: tags.tags(text))
+    assert [(t.target, t.reason, t.offset) for t in found] == [("a.md", "why", 300_001)]
+    assert peak < 4 * len(text)
+
+
 @pytest.mark.parametrize("block", [0, 1, 5, 17])
 def test_lines_are_the_same_in_any_blocks(monkeypatch, block):
     text = "# A\r\n\n\n```\n<!-- @cite b.md no -->\n# B\n```\r\n<!--\n# C\n@cite a.md one\n--><!-- @cite a.md two -->\n## D\r\nx <!-- @cite a.md three -->\n"
     whole = markdown.scan("f.md", text)
-    monkeypatch.setattr(markdown, "BLOCK", block)
-    assert list(markdown._lines(text)) == text.split("\n")
+    monkeypatch.setattr(tags, "BLOCK", block)
+    assert list(tags.lines(text)) == text.split("\n")
     assert markdown.scan("f.md", text) == whole
     assert [(u["symbol"], u["line"]) for u in whole["units"]] == [("file", 1), ("h1", 1), ("h2", 12)]
     assert [(d["line"], d["hosts"]) for d in whole["declarations"]] == [(10, ["h1"]), (11, ["h1"]), (13, ["h2"])]
